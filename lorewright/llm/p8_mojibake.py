@@ -343,7 +343,8 @@ def gather(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame
                 if text and not text.isascii() and (x := stretch_evidence(text, evidence)):
                     best = sorted(x.items(), key=lambda kv: (-kv[1][0], kv[0]))[:_KEPT]
                     at.append(i)
-                    found.append([{"chain": c, "nats": min(MOST, v[0]), "first": v[1], "last": v[2]} for c, v in best])
+                    beyond = max(0.0, best[0][1][0] - MOST)  # cut alike for all, so that their differences stay
+                    found.append([{"chain": c, "nats": max(0.0, v[0] - beyond), "first": v[1], "last": v[2]} for c, v in best])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, item)], names=[id_col, "found"])
 
     return df.select(id_col, text_col).where(f"`{text_col}` IS NOT NULL").mapInArrow(run, f"`{id_col}` {kind}, found array<struct<chain:string,nats:double,first:int,last:int>>")
@@ -379,7 +380,7 @@ def judge(df: DataFrame, id_col: str, text_col: str, source_col: str, field: str
     schema = "_source string, chain string, rate double"
     # One row per combination of bins and one per chain: both bounded whatever the number of records.
     overall = counts.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit("*").alias("_source"), "key", "n", F.lit(df.count()).cast("bigint").alias("records"))
-    pooled = {r["chain"]: r["rate"] for r in overall.groupBy("_source").applyInPandas(_pool, schema).collect()}
+    pooled = {r["chain"]: r["rate"] for r in overall.groupBy("_source").applyInPandas(lambda pdf: _pool(pdf), schema).collect()}
     rates = counts.groupBy("_source").applyInPandas(lambda pdf: _pool(pdf, pooled), schema)
     rates = rates.groupBy("_source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "rate"))).alias("rates"))
     weigh = lambda x: F.element_at("rates", x.chain) * F.exp(x.nats)
