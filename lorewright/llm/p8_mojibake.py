@@ -255,10 +255,16 @@ def _high_set(wrong: str) -> frozenset:
     return frozenset(c for c, b in _bytes_of(wrong).items() if b[0] >= 0x80)
 
 
+#: One-byte tables of other scripts: what they read is no part of a word with Latin letters.
+_OTHER_SCRIPT = frozenset(["cp1251", "koi8_r", "iso8859_5", "cp866", "cp1253", "iso8859_7", "cp1256", "iso8859_6", "cp874", "cp1255", "mac_cyrillic"])
+_IN_LATIN = re.compile(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]")
+
+
 def candidates(token: str) -> Iterator[tuple[str, str]]:
     """(chain, mended token) of every chain that could have made the token."""
     groups, rest = _by_wrong()
     high = [c for c in token if c > "\x7f"]
+    latin = bool(_IN_LATIN.search(token))
     for wrong, rights in groups:
         own = _high_set(wrong)
         if own.isdisjoint(high):
@@ -268,6 +274,8 @@ def candidates(token: str) -> Iterator[tuple[str, str]]:
         else:  # only runs of the table's characters are read anew
             parts = [_encode(x, wrong) if k % 2 else x for k, x in enumerate(_run_pattern(wrong).split(token))]
         for name, right in rights:
+            if latin and right in _OTHER_SCRIPT:
+                continue
             try:
                 yield name, "".join([x if isinstance(x, str) else x.decode(right) for x in parts])
             except UnicodeDecodeError:
@@ -286,12 +294,15 @@ def token_evidence(token: str, model: Model) -> dict[str, float]:
     if model.weakest(token) > USUAL:
         return {}
     out, as_is, known = {}, None, model.known
+    scored: dict[str, float] = {}
     for name, mended in candidates(token):
         if mended == token:
             continue
-        if as_is is None:
-            as_is = model.score(token)
-        out[name] = max(-8.0, model.score(mended) - as_is) if known.issuperset(mended) else -8.0
+        if mended not in scored:
+            if as_is is None:
+                as_is = model.score(token)
+            scored[mended] = max(-8.0, model.score(mended) - as_is) if known.issuperset(mended) else -8.0
+        out[name] = scored[mended]
     return out
 
 
