@@ -25,14 +25,14 @@ def detect_chapters(blocks: DataFrame, key: str, heading_level: str | None = Non
         heading = F.col(heading_level).isNotNull() | heading
     w = Window.partitionBy(key).orderBy("pos")
     marked = blocks.withColumn("_h", heading).withColumn("_g", F.sum(F.col("_h").cast("int")).over(w))
-    parts = marked.groupBy(key, "_g").agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("b"))
+    parts = marked.groupBy(key, "_g").agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("_blocks"))
     every = Window.partitionBy(key)
     parts = parts.withColumn("_last", F.max("_g").over(every)).withColumn("number", F.row_number().over(every.orderBy("_g")))
-    first = F.col("b")[0].block
-    body = F.array_join(F.transform(F.slice("b", 2, F.size("b")), lambda x: x.block), "\n\n")
-    whole = F.array_join(F.transform("b", lambda x: x.block), "\n\n")
+    first = F.col("_blocks")[0].block
+    body = F.array_join(F.transform(F.slice("_blocks", 2, F.size("_blocks")), lambda x: x.block), "\n\n")
+    whole = F.array_join(F.transform("_blocks", lambda x: x.block), "\n\n")
     title = F.when(F.col("_g") > 0, strip(first)).when(F.col("_last") == 0, F.lit("Full document")).otherwise(F.lit("Introduction"))
-    text = F.when((F.col("_g") > 0) & (F.size("b") > 1), F.concat(strip(first), F.lit("\n\n"), body)).otherwise(whole)
+    text = F.when((F.col("_g") > 0) & (F.size("_blocks") > 1), F.concat(strip(first), F.lit("\n\n"), body)).otherwise(whole)
     return parts.select(key, "number", title.alias("title"), text.alias("text")).withColumn("text", normalize_text(F.col("text")))
 
 

@@ -109,7 +109,7 @@ class BookFold:
         who = self.cast.find(speaker, chapter)
         for name in {*self.cast.mentions(folded, chapter), *([who.name] if who and r.type != "narration" else [])}:
             self.cast.find(name, None).last.append((chapter, int(r.seg_order)))
-        self.near.append((r.type, speaker, folded, int(r.scene_id), text))
+        self.near.append((r.type, speaker, folded, int(r.scene_id), text, bool(r.scene_break_before)))
         return (r.row_id, r.book_id, *out)
 
     def resolve(self, r, chapter: int, text: str) -> tuple | None:
@@ -117,7 +117,7 @@ class BookFold:
         if isinstance(r.rule_speaker, str):
             return r.rule_speaker, 0.99, "rule", False
         before = [x for x in list(self.near)[-4:] if x[3] == r.scene_id]
-        cut = len(before) < min(4, len(self.near)) or bool(r.scene_break_before) or int(r.scene_id) != (self.near[0][3] if len(self.near) <= 4 and self.near else r.scene_id)
+        cut = bool(r.scene_break_before) or any(x[5] for x in list(self.near)[-4:])
         named_ = lambda rows: [x[1] for x in rows if x[0] == "dialogue" and x[1] not in (NARRATOR, UNKNOWN)]
         previous = named_(before if cut else self.near)
         order = int(r.seg_order)

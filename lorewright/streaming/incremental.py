@@ -33,7 +33,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> I
 
 def transitions(events: DataFrame, key: str = "user_id") -> DataFrame:
     """Changes of state per key as events arrive; the state per key is three fields."""
-    return events.groupBy(F.col(key).alias("key")).applyInPandasWithState(_advance, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.withColumn("_key", F.col(key)).groupBy("_key").applyInPandasWithState(_advance, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def hourly(events: DataFrame, lateness: str = "2 hours") -> DataFrame:
