@@ -38,7 +38,7 @@ from lorewright.session import cut, table
 TITLES = """mr mrs ms miss mister madam dr doctor prof professor captain capt sergeant sgt lieutenant lt colonel col major general sir lady lord dame brother sister father mother saint st inspector judge master mistress
 sr sra srta señor señora señorita don doña d doctora dra profesor profesora capitán capitana sargento hermano hermana padre madre maestro maestra comisario
 m mme mlle monsieur madame mademoiselle docteur doctoresse professeur pr capitaine sergent frère sœur soeur père mère maître commissaire
-herr frau fräulein fr hr doktor kapitän hauptmann feldwebel bruder schwester vater meister kommissar
+herr frau fräulein fr hr doktor doktorin professorin kapitän kapitänin hauptmann hauptmännin feldwebel meisterin kommissarin bruder schwester vater meister kommissar
 senhor senhora senhorita dom dona doutor doutora capitão sargento irmão irmã padre mestre mestra
 г-н г-жа господин госпожа доктор д-р профессор проф капитан кап сержант брат сестра отец мать мастер
 κ κα κος κύριος κυρία δρ καθ καθηγητής καθηγήτρια καπ καπετάνιος καπετάνισσα λοχίας αδελφός αδελφή γιατρός κυρ
@@ -108,9 +108,13 @@ def parse(name: str) -> dict:
         whole = (whole[: number.start()] + " " + whole[number.end() :]).strip()
     if out["cjk"]:
         for t in CJK_TITLES.split():
-            for x in (whole.removesuffix(t).strip(), whole.removeprefix(t).strip()):
-                if x != whole and len(x) > 1:
-                    whole, out["title"] = x, True
+            bare = whole.removesuffix(t).strip()
+            if bare == whole:
+                bare = whole.removeprefix(t).strip()
+                bare = bare if len(bare) > 1 else whole
+            if bare and bare != whole:
+                whole, out["title"] = bare, True
+                break
         for r in CJK_RELATIONS.split():
             if len(r) > 1 and whole.endswith(r) and len(whole) > len(r) + 1:
                 whole, out["relation"] = whole.removesuffix(r), r
@@ -175,7 +179,7 @@ def distance(a: str, b: str, most: int) -> int:
 @functools.lru_cache(maxsize=1 << 15)
 def sound(token: str) -> str:
     """Letters that are typed for each other by ear brought together."""
-    for a, b in (("rn", "m"), ("ph", "f"), ("th", "t"), ("ck", "k"), ("qu", "k"), ("v", "b"), ("w", "b"), ("y", "i"), ("z", "s"), ("ç", "s"), ("x", "s"), ("c", "k"), ("q", "k"), ("g", "j"), ("h", "")):
+    for a, b in (("rn", "m"), ("ll", "y"), ("ph", "f"), ("th", "t"), ("ck", "k"), ("qu", "k"), ("v", "b"), ("w", "b"), ("y", "i"), ("z", "s"), ("ç", "s"), ("x", "s"), ("c", "k"), ("q", "k"), ("g", "j"), ("h", "")):
         token = token.replace(a, b)
     return regex.sub(r"(.)\1+", r"\1", token)
 
@@ -188,7 +192,7 @@ class Names:
 
     def both_established(self, a: str, b: str) -> bool:
         lo, hi = sorted((self.spread.get(a, 1), self.spread.get(b, 1)))
-        return hi >= 4 and lo >= 0.12 * hi and lo >= 2
+        return hi >= 4 and lo >= 0.3 * hi and lo >= 2
 
     def typo(self, a: str, b: str) -> bool:
         n = min(len(a), len(b))
@@ -201,10 +205,14 @@ class Names:
         if (a[:-1] == b[:-1] or a == b[:-1] or b == a[:-1]) and hi < 8 * lo and a[-1] != b[-1] and {a[-1], b[-1]} & set("aeoаяεαη"):
             return False
         d = distance(a, b, 2)
-        if d <= 1 or d == 2 and n >= 6 and hi >= 5 and lo <= max(1, hi // 10):
+        if d <= 1 or d == 2 and n >= 6 and lo <= max(1, hi // 10):
             return True
         return n >= 5 and (d == 2 and (n >= 9 or distance(sound(a), sound(b), 1) <= 1) or sound(a) == sound(b))
 
+    def contracts(self, short: str, full: str) -> bool:
+        """fcois -> francois, cie -> compagnie: outer letters kept, of a word that stands in several books."""
+        return len(short) >= 3 and len(full) - len(short) >= 2 and short[-1] == full[-1] and self.spread.get(full, 1) >= 4 and _abbreviates(short, full)
+
     def slip(self, a: str, b: str) -> bool:
         """A typing error in a name written without gaps: one edit, or two that bring in no new character."""
         a, b = sorted((a, b), key=lambda x: (self.spread.get(x, 1), x))
@@ -250,6 +258,8 @@ def full_match(p: dict, q: dict, names: Names) -> bool:
                     equal += 1
                 elif s in p["short"] and _abbreviates(s, t) or t in q["short"] and _abbreviates(t, s):
                     fuzzy += 1
+                elif names.contracts(s, t) or names.contracts(t, s):
+                    fuzzy += 1
                 elif len(s) > 1 and len(t) > 1 and names.typo(s, t):
                     slips += 1
                 elif names.nickname(s, t):
@@ -260,7 +270,7 @@ def full_match(p: dict, q: dict, names: Names) -> bool:
                 if equal and fuzzy + slips <= 1 or equal and not fuzzy and slips == 2:
                     return True
                 # Both parts mistyped: each by one edit in a long token.
-                if slips == 2 and len(a) == 2 and all(min(len(s), len(t)) >= 5 and s[0] == t[0] and distance(s, t, 1) <= 1 for s, t in zip(a, x)):
+                if slips == 2 and len(a) == 2 and all(min(len(s), len(t)) >= 5 and s[0] == t[0] and (distance(s, t, 1) <= 1 or sound(s) == sound(t)) for s, t in zip(a, x)):
                     return True
         return False
     if len(b) - len(a) == 1:
@@ -279,7 +289,7 @@ def partial_match(p: dict, q: dict, names: Names, loose: bool) -> bool:
     if p["relation"] != q["relation"]:
         return False
     if p["cjk"]:
-        return any(len(a) >= 2 and len(a) < len(b) and (b.startswith(a) or b.endswith(a)) for a in p["forms"] for b in q["forms"])
+        return any(len(a) >= 2 - p["title"] and (a == b or len(a) < len(b)) and (b.startswith(a) or b.endswith(a) or loose and names.slip(a, b)) for a in p["forms"] for b in q["forms"])
     a, b = p["tokens"], q["tokens"]
     if q["phrase"] or len(b) < 2:
         return False
