@@ -12,6 +12,7 @@ sentence at its own end; ends count code points as stored. A blank text is one s
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,15 +50,21 @@ _QUOTES = regex.compile(r"“[^“”]*”|«[^«»]*»|„[^„“”]*[“”]
 _LEAD = r"(?:[\s\p{Cf}\"'“”„‘’«»‹›「『（(\[¿¡—–\-*_]*)"
 _NEXT = regex.compile(rf"{_LEAD}(?P<c>[^\s\p{{Cf}}])")
 _WORD_BEFORE = regex.compile(r"(?:[\p{L}\p{M}\p{N}\p{Cf}][\p{L}\p{M}\p{N}\p{Cf}'’.ºª\-]*|№)\Z")
-_TIME_OPENER = regex.compile(r"^[\W]*(?:(?:at|by|a|às|à|ao|en|um|gegen|vers|в|στις)\s+(?:\p{L}{1,4}\s+)?)[\d０-９:.,]+\s*[ap]\.?\s*m$", regex.I)
+_TIME_OPENER = regex.compile(r"^[\W]*(?:(?:at|by|a|às|à|ao|en|um|gegen|vers|в|στις)\s+(?:\p{L}{1,4}\s+)?)[\d\p{No}:.,]+\s*[ap]\.?\s*m$", regex.I)
 _THAI_GAP = regex.compile(r"(?<=[\p{L}\p{M}ฯๆ\"”’)!?.…][\p{Cf}]*)(?P<gap>\s+)(?=[\p{Cf}]*[\"“‘(]*\p{L})")
-_CASELESS = regex.compile(r"[\p{Lo}]")
+_LINE_END = regex.compile(r"\s*(?:\r?\n|\u2028|\u2029)\s*")
+_THAI = regex.compile(r"\p{Thai}")
 
 
 @functools.lru_cache(maxsize=1 << 14)
 def _folded(word: str) -> str:
-    """Lower case first, so that a look-alike capital and its small letter meet."""
-    return look_key(regex.sub(r"\p{Cf}", "", word).lower())
+    """Lower case first, so that a look-alike capital and its small letter meet; without accents."""
+    out = look_key(regex.sub(r"\p{Cf}", "", word).lower())
+    return out if out.isascii() else unicodedata.normalize("NFC", regex.sub(r"[\u0300-\u036f]", "", unicodedata.normalize("NFD", out)))
+
+
+#: After an abbreviation in a text without lower case: what hardly opens a sentence.
+_FUNCTION_WORDS = frozenset(map(_folded, "desde since depuis seit de del y e and et und of da do с и και από".split()))
 
 
 @functools.lru_cache(maxsize=64)
@@ -114,20 +121,20 @@ def sentence_ends(text: str, code: str | None = None) -> list[int]:
     n = len(text)
     if not n:
         return []
+    marks = [m for m in _MARK.finditer(text) if m.end() < n]
+    if not marks and (text.isascii() or not _THAI.search(text)) and not _LINE_END.search(text):
+        return [n]
     lang = language(code, text)
     ends: set[int] = set()
     caseless = lang in ("th", "ja", "zh", "hi", "ar")
     cjk = lang in ("ja", "zh")
-    marks = [m for m in _MARK.finditer(text)]
-    spans = _quoted(text, caseless) if marks and len(marks) > 1 and any(c in text for c in "“«„「『\"") else []
+    spans = _quoted(text, caseless) if marks and any(c in text for c in "“«„「『\"") else []
     open_, number, end_ = _lists(lang)
     shouting = text.isupper()
     last = 0
     for m in marks:
         stop = m.end("close")
         mark = regex.sub(r"[\p{Cf}️]", "", m["mark"])
-        if m.end() >= n:
-            break
         if any(a <= m.start() < b for a, b in spans):
             continue
         if mark.strip(";;؛") == "" and not (lang == "el"):
@@ -160,7 +167,7 @@ def sentence_ends(text: str, code: str | None = None) -> list[int]:
                 word = _folded(raw)
                 # "p. m.", "z. B.", "т. д.": earlier single letters belong to the abbreviation.
                 head, lead = word, text[max(last, before.start() - 24) : before.start()]
-                while (x := regex.search(r"(?:^|[\s(,])(\p{L})\.\p{Cf}*\s*\Z", lead)) and len(head) < 12:
+                while (x := regex.search(r"(?:^|[\s(,])(\p{L})[.．]\p{Cf}*\s*\Z", lead)) and len(head) < 12:
                     head = _folded(x[1]) + "." + head
                     lead = lead[: x.start(1)]
                 single = regex.fullmatch(r"\p{L}\p{M}*", raw)
@@ -169,6 +176,8 @@ def sentence_ends(text: str, code: str | None = None) -> list[int]:
                 if head in end_ or word in end_ and head == word:
                     if regex.fullmatch(r"[ap]\.m", head) and _TIME_OPENER.match(look_key(text[last : m.start()].strip())):
                         continue
+                    if shouting and after in _FUNCTION_WORDS:
+                        continue
                 elif head in open_ or word in open_:
                     continue
                 elif (head in number or word in number) and nxt.isdigit():
@@ -187,7 +196,7 @@ def sentence_ends(text: str, code: str | None = None) -> list[int]:
         for m in _THAI_GAP.finditer(text):
             if not any(a <= m.start() < b for a, b in spans):
                 ends.add(m.start())
-    for m in regex.finditer(r"\s*(?:\r?\n| | )\s*", text):
+    for m in _LINE_END.finditer(text):
         if 0 < m.start() and m.end() < n and (not text[m.end()].islower() or text.count("\n", m.start(), m.end()) > 1):
             ends.add(m.start())
     ends = {e for e in ends if text[e:].strip()}
