@@ -52,6 +52,8 @@ _NEXT = regex.compile(rf"{_LEAD}(?P<c>[^\s\p{{Cf}}])")
 _WORD_BEFORE = regex.compile(r"(?:[\p{L}\p{M}\p{N}\p{Cf}][\p{L}\p{M}\p{N}\p{Cf}'’.ºª\-]*|№)\Z")
 _TIME_OPENER = regex.compile(r"^[\W]*(?:(?:at|by|a|às|à|ao|en|um|gegen|vers|в|στις)\s+(?:\p{L}{1,4}\s+)?)[\d\p{No}:.,]+\s*[ap]\.?\s*m$", regex.I)
 _THAI_GAP = regex.compile(r"(?<=[\p{L}\p{M}ฯๆ\"”’)!?.…][\p{Cf}]*)(?P<gap>\s+)(?=[\p{Cf}]*[\"“‘(]*\p{L})")
+_HIDDEN = regex.compile(r"\p{Cf}")
+_ACCENTS = regex.compile(r"[\u0300-\u036f]")
 _LINE_END = regex.compile(r"\s*(?:\r?\n|\u2028|\u2029)\s*")
 _THAI = regex.compile(r"\p{Thai}")
 
@@ -59,8 +61,8 @@ _THAI = regex.compile(r"\p{Thai}")
 @functools.lru_cache(maxsize=1 << 14)
 def _folded(word: str) -> str:
     """Lower case first, so that a look-alike capital and its small letter meet; without accents."""
-    out = look_key(regex.sub(r"\p{Cf}", "", word).lower())
-    return out if out.isascii() else unicodedata.normalize("NFC", regex.sub(r"[\u0300-\u036f]", "", unicodedata.normalize("NFD", out)))
+    out = look_key(_HIDDEN.sub("", word).lower())
+    return out if out.isascii() else unicodedata.normalize("NFC", _ACCENTS.sub("", unicodedata.normalize("NFD", out)))
 
 
 #: After an abbreviation in a text without lower case: what hardly opens a sentence.
@@ -75,13 +77,26 @@ def _lists(lang: str) -> tuple[frozenset, frozenset, frozenset]:
 
 _REPORTING, _CARRY_ON, _ORDINAL_LEADS = (frozenset(map(_folded, x.split())) for x in (REPORTING, CARRY_ON, ORDINAL_LEADS))
 _SCRIPTS = [("th", regex.compile(r"\p{Thai}")), ("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("zh", regex.compile(r"\p{Han}")), ("hi", regex.compile(r"\p{Devanagari}")), ("ar", regex.compile(r"\p{Arabic}")), ("ru", regex.compile(r"[\p{Cyrillic}]")), ("el", regex.compile(r"\p{Greek}"))]
+_LATIN = regex.compile(r"\p{Latin}+")
+_REPORTS_AFTER = regex.compile(r"[\p{Cf}]*(\s*)([,，、]|[—–-]\s*\p{Ll}|\p{Ll}|\p{Lo})")
+_UNCASED = regex.compile(r"\p{Lo}")
+_FIRST_WORD = regex.compile(r"\W*([\p{L}\p{M}-]+)")
+_LEADS_IN = regex.compile(r"[:：,，]\s*\Z")
+_CLINGING = regex.compile(r"[\p{Cf}️]")
+_WORD_AT = regex.compile(r"[\p{L}\p{M}'’-]+")
+_LETTER_BEFORE = regex.compile(r"(?:^|[\s(,])(\p{L})[.．]\p{Cf}*\s*\Z")
+_SINGLE = regex.compile(r"\p{L}\p{M}*")
+_LETTER_AFTER = regex.compile(r"\p{Cf}*\p{L}\p{Cf}*[.．]")
+_NOON = regex.compile(r"[ap]\.m")
+_INITIALS = regex.compile(r"(?:\p{Lu}\.?-?)+")
+_LAST_WORD = regex.compile(r"([\p{L}\p{M}]+)\W*\Z")
 
 
 def language(code: str | None, text: str) -> str:
     """Language of a text by its script, else by its code, else by its commonest words."""
     if not text.isascii():
         sample = text
-        latin = sum(map(len, regex.findall(r"\p{Latin}+", sample)))
+        latin = sum(map(len, _LATIN.findall(sample)))
         best, most = "", 0
         for lang, pattern in _SCRIPTS:
             n = len(pattern.findall(sample))
@@ -105,13 +120,13 @@ def _quoted(text: str, caseless: bool) -> list[tuple[int, int]]:
     shouting = text.isupper()
     for m in _QUOTES.finditer(text):
         rest = text[m.end() :]
-        after = regex.match(r"[\p{Cf}]*(\s*)([,，、]|[—–-]\s*\p{Ll}|\p{Ll}|\p{Lo})", rest)
-        follows = bool(after) and (not regex.match(r"\p{Lo}", after[2]) or caseless)
-        if not follows and shouting and (w := regex.match(r"\W*([\p{L}\p{M}-]+)", rest)):
+        after = _REPORTS_AFTER.match(rest)
+        follows = bool(after) and (not _UNCASED.match(after[2]) or caseless)
+        if not follows and shouting and (w := _FIRST_WORD.match(rest)):
             follows = _folded(w[1]) in _REPORTING
         if follows:
             spans.append((m.start(), m.end()))
-        elif regex.search(r"[:：,，]\s*\Z", text[: m.start()]):
+        elif _LEADS_IN.search(text[: m.start()]):
             spans.append((m.start(), m.end() - 2))
     return spans
 
@@ -134,7 +149,7 @@ def sentence_ends(text: str, code: str | None = None) -> list[int]:
     last = 0
     for m in marks:
         stop = m.end("close")
-        mark = regex.sub(r"[\p{Cf}️]", "", m["mark"])
+        mark = _CLINGING.sub("", m["mark"])
         if any(a <= m.start() < b for a, b in spans):
             continue
         if mark.strip(";;؛") == "" and not (lang == "el"):
@@ -154,7 +169,7 @@ def sentence_ends(text: str, code: str | None = None) -> list[int]:
                 continue
         if nxt.islower() or nxt in ",;:，、؛…":
             continue
-        word_after = regex.match(r"[\p{L}\p{M}'’-]+", text[following.start("c") :])
+        word_after = _WORD_AT.match(text[following.start("c") :])
         after = _folded(word_after[0]) if word_after and shouting else ""
         if shouting and after and (after in _REPORTING or ellipsis and after in _CARRY_ON):
             continue
@@ -163,18 +178,18 @@ def sentence_ends(text: str, code: str | None = None) -> list[int]:
                 continue
             before = _WORD_BEFORE.search(text, max(last, m.start() - 40), m.start())
             if before:
-                raw = regex.sub(r"\p{Cf}", "", look_key(before[0]))
+                raw = _HIDDEN.sub("", look_key(before[0]))
                 word = _folded(raw)
                 # "p. m.", "z. B.", "т. д.": earlier single letters belong to the abbreviation.
                 head, lead = word, text[max(last, before.start() - 24) : before.start()]
-                while (x := regex.search(r"(?:^|[\s(,])(\p{L})[.．]\p{Cf}*\s*\Z", lead)) and len(head) < 12:
+                while (x := _LETTER_BEFORE.search(lead)) and len(head) < 12:
                     head = _folded(x[1]) + "." + head
                     lead = lead[: x.start(1)]
-                single = regex.fullmatch(r"\p{L}\p{M}*", raw)
-                if single and regex.match(r"\p{Cf}*\p{L}\p{Cf}*[.．]", text[following.start("c") :]):
+                single = _SINGLE.fullmatch(raw)
+                if single and _LETTER_AFTER.match(text[following.start("c") :]):
                     continue
                 if head in end_ or word in end_ and head == word:
-                    if regex.fullmatch(r"[ap]\.m", head) and _TIME_OPENER.match(look_key(text[last : m.start()].strip())):
+                    if _NOON.fullmatch(head) and _TIME_OPENER.match(look_key(text[last : m.start()].strip())):
                         continue
                     if shouting and after in _FUNCTION_WORDS:
                         continue
@@ -184,10 +199,10 @@ def sentence_ends(text: str, code: str | None = None) -> list[int]:
                     continue
                 elif single and (raw.isupper() or caseless or head != word or word in open_):
                     continue
-                elif regex.fullmatch(r"(?:\p{Lu}\.?-?)+", raw) and len(raw) <= 5 and ("." in raw or "-" in raw):
+                elif _INITIALS.fullmatch(raw) and len(raw) <= 5 and ("." in raw or "-" in raw):
                     continue
                 elif lang == "de" and raw.isdigit():
-                    lead_word = regex.search(r"([\p{L}\p{M}]+)\W*\Z", text[last : before.start()])
+                    lead_word = _LAST_WORD.search(text[last : before.start()])
                     if lead_word and _folded(lead_word[1]) in _ORDINAL_LEADS:
                         continue
         ends.add(stop)
