@@ -97,7 +97,7 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
-_PIECES = "array<struct<piece_start:int,piece_end:int,piece:string>>"
+_PIECES = "array<struct<n_pieces:int,piece_start:int,piece_end:int,piece:string>>"
 
 
 def split_column(text, limit: int, overlap: int):
@@ -105,9 +105,10 @@ def split_column(text, limit: int, overlap: int):
 
     @F.pandas_udf(_PIECES)
     def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [{"piece_start": a, "piece_end": b, "piece": t[a:b]} for a, b in cut_points(t, limit, overlap)] for t in texts], dtype=object)
+        cuts = [[] if t is None else cut_points(t, limit, overlap) for t in texts]
+        return pd.Series([[{"n_pieces": len(c), "piece_start": a, "piece_end": b, "piece": t[a:b]} for a, b in c] for t, c in zip(texts, cuts)], dtype=object)
 
-    whole = F.array(F.struct(F.lit(0).alias("piece_start"), F.char_length(text).alias("piece_end"), text.alias("piece")))
+    whole = F.array(F.struct(F.lit(1).alias("n_pieces"), F.lit(0).alias("piece_start"), F.char_length(text).alias("piece_end"), text.alias("piece")))
     length = F.char_length(text)
     return F.when(length > limit, cut(F.when(length > limit, text))).when(length > 0, whole)
 
@@ -115,7 +116,7 @@ def split_column(text, limit: int, overlap: int):
 def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int, overlap: int) -> DataFrame:
     """One row per piece: the id, piece_no, n_pieces, piece_start, piece_end (code points) and piece."""
     pieces = df.select(F.col(id_col).alias(id_col), split_column(F.col(text_col), limit, overlap).alias("_p"))
-    return pieces.select(id_col, F.size("_p").alias("n_pieces"), F.posexplode("_p").alias("piece_no", "_x")).select(id_col, "piece_no", "n_pieces", "_x.piece_start", "_x.piece_end", "_x.piece")
+    return pieces.select(id_col, F.posexplode("_p").alias("piece_no", "_x")).select(id_col, "piece_no", "_x.n_pieces", "_x.piece_start", "_x.piece_end", "_x.piece")
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
