@@ -76,9 +76,9 @@ def segment_type_histogram(spark, d):
     return _segments(spark, d, "type").groupBy("book_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("segment_ids_global", f"WITH {_LS}, n AS (SELECT row_id, row_number() OVER (PARTITION BY book_id ORDER BY seg_order, row_id) AS k FROM ls) SELECT row_id, printf('seg_%06d', k) AS new_id, k AS new_order FROM n")
+@query("segment_ids_global", f"WITH {_LS}, n AS (SELECT row_id, row_number() OVER (PARTITION BY book_id ORDER BY chapter, seg_order, row_id) AS k FROM ls) SELECT row_id, printf('seg_%06d', k) AS new_id, k AS new_order FROM n")
 def segment_ids_global(spark, d):
-    return segmenter.segment_ids(_segments(spark, d, "seg_order"))
+    return segmenter.segment_ids(_segments(spark, d, "seg_order", "chapter"))
 
 
 @query("segment_ids_by_chapter", f"WITH {_LS}, n AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter ORDER BY seg_order, row_id) AS k FROM ls) SELECT row_id, printf('b%d_c%d_seg_%06d', book_id, chapter, k) AS new_id, CAST(chapter AS BIGINT) * 1000000000 + k - 1 AS new_order FROM n")

@@ -74,9 +74,11 @@ def character_statistics(events: DataFrame, ring: int = 64) -> DataFrame:
     s = events.groupBy("book_id", "char_id").agg(
         F.sum("said").alias("dialogue_count"), F.sum("mentioned").alias("mention_count"), F.array_sort(F.collect_set("chapter")).alias("chapters"),
         F.min("chapter").alias("first_chapter"), F.max("chapter").alias("last_chapter"),
-        F.array_agg(F.struct("chapter", "seg_order")).alias("_a"),
     )
-    return s.withColumn("activity", F.slice(F.array_sort("_a"), F.greatest(F.size("_a") - ring + 1, F.lit(1)), ring)).drop("_a")
+    # Only the latest rows of a character are ever gathered.
+    last = F.row_number().over(Window.partitionBy("book_id", "char_id").orderBy(F.col("chapter").desc(), F.col("seg_order").desc()))
+    recent = events.withColumn("_n", last).where(F.col("_n") <= ring).groupBy("book_id", "char_id").agg(F.array_sort(F.collect_list(F.struct("chapter", "seg_order"))).alias("activity"))
+    return s.join(recent, ["book_id", "char_id"])
 
 
 def importance(dialogues, mentions_, chapters, pending):

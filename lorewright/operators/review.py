@@ -48,10 +48,12 @@ def review_order() -> list[Column]:
 
 def page(df: DataFrame, number: int, size: int = 50) -> DataFrame:
     """H2: one page per book in review order; a number beyond the last page gives the last."""
-    w = Window.partitionBy("book_id")
-    rows = df.withColumn("place", F.row_number().over(w.orderBy(*review_order()))).withColumn("_t", F.count(F.lit(1)).over(w))
-    wanted = F.least(F.lit(max(1, number)), F.greatest(F.lit(1), F.ceil(F.col("_t") / size)))
-    return rows.where(F.ceil(F.col("place") / size) == wanted).drop("_t")
+    number = max(1, number)
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy(*review_order()))
+    # No wanted row lies beyond this place, so each task keeps that many rows of a book before the shuffle.
+    rows = df.withColumn("place", place).where(F.col("place") <= number * size)
+    pages = df.groupBy("book_id").agg(F.least(F.lit(number), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size))).alias("_p"))
+    return rows.join(pages, "book_id").where(F.ceil(F.col("place") / size) == F.col("_p")).drop("_p")
 
 
 def character_metrics(segments: DataFrame, characters: DataFrame) -> DataFrame:

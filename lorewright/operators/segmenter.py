@@ -90,12 +90,15 @@ def dash_lines(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 def segment_ids(df: DataFrame, mode: str = "global") -> DataFrame:
     """C11: ids and orders, over the whole book ('global') or within each chapter ('chapter')."""
-    order = F.col("seg_order"), F.col("row_id")
-    if mode == "global":
-        n = F.row_number().over(Window.partitionBy("book_id").orderBy(*order))
-        return df.select("row_id", F.format_string("seg_%06d", n).alias("new_id"), n.cast("bigint").alias("new_order"))
-    n = F.row_number().over(Window.partitionBy("book_id", "chapter").orderBy(*order))
-    return df.select("row_id", F.format_string("b%d_c%d_seg_%06d", "book_id", "chapter", n).alias("new_id"), (F.col("chapter").cast("bigint") * F.lit(1_000_000_000) + n - 1).cast("bigint").alias("new_order"))
+    n = F.row_number().over(Window.partitionBy("book_id", "chapter").orderBy("seg_order", "row_id"))
+    if mode == "chapter":
+        return df.select("row_id", F.format_string("b%d_c%d_seg_%06d", "book_id", "chapter", n).alias("new_id"), (F.col("chapter").cast("bigint") * F.lit(1_000_000_000) + n - 1).cast("bigint").alias("new_order"))
+    # The book's count is the chapter's own plus those of the chapters before, so that no task sorts a whole book.
+    sizes = df.groupBy("book_id", "chapter").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("book_id").orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = df.withColumn("_n", n).join(sizes.withColumn("_before", before), ["book_id", "chapter"])
+    place = (F.col("_before") + F.col("_n")).cast("bigint")
+    return rows.select("row_id", F.format_string("seg_%06d", place).alias("new_id"), place.alias("new_order"))
 
 
 def context_strings(df: DataFrame, size: int = 4, most: int = 2000) -> DataFrame:
