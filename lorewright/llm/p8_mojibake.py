@@ -339,8 +339,8 @@ def stretch_evidence(text: str, evidence) -> dict[str, tuple[float, int, int]]:
 _KEPT = 4
 
 
-def gather(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
-    """One row per record with evidence: the id and ``found``, an array of (chain, nats, first, last)."""
+def gather(df: DataFrame, id_col: str, text_col: str, source, model: Model) -> DataFrame:
+    """One row per record with evidence: the id, _source and ``found``, an array of (chain, nats, first, last)."""
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast((model.keys, model.counts))
     item = pa.list_(pa.struct([("chain", pa.string()), ("nats", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
@@ -356,9 +356,10 @@ def gather(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame
                     at.append(i)
                     beyond = max(0.0, best[0][1][0] - MOST)  # cut alike for all, so that their differences stay
                     found.append([{"chain": c, "nats": max(0.0, v[0] - beyond), "first": v[1], "last": v[2]} for c, v in best])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, item)], names=[id_col, "found"])
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(found, item)], names=[id_col, "_source", "found"])
 
-    return df.select(id_col, text_col).where(f"`{text_col}` IS NOT NULL").mapInArrow(run, f"`{id_col}` {kind}, found array<struct<chain:string,nats:double,first:int,last:int>>")
+    return df.where(F.col(text_col).isNotNull()).select(id_col, text_col, source.alias("_source")).mapInArrow(run, f"`{id_col}` {kind}, _source string, found array<struct<chain:string,nats:double,first:int,last:int>>")
 
 
 def _pool(pdf: pd.DataFrame, pooled: dict[str, float] | None = None) -> pd.DataFrame:
@@ -383,7 +384,7 @@ def judge(df: DataFrame, id_col: str, text_col: str, source_col: str, field: str
     """Id, chain, posterior (of any damage), first, last of every record judged damaged. Ids are unique."""
     source = F.concat(F.lit(field + ":"), F.coalesce(F.col(source_col), F.lit("\x00")))
     model = train(df, text_col)
-    found = cut(gather(df, id_col, text_col, model).join(df.select(id_col, source.alias("_source")), id_col))
+    found = cut(gather(df, id_col, text_col, source, model))
     key = F.array_join(F.array_sort(F.transform("found", lambda x: F.concat_ws(":", x.chain, F.floor(x.nats / BIN).cast("string")))), "|")
     counts = found.groupBy("_source", key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
     totals = df.groupBy(source.alias("_source")).agg(F.count(F.lit(1)).alias("records"))
