@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorewright import schemas
 from lorewright.functions import text as T
 from lorewright.operators import audio, chapters, characters, chunks, context, edits, incremental, pages, review, segmenter, voices
 from lorewright.operators.tables import is_speech, latest, named
-from lorewright.plans import fold, project
+from lorewright.plans import fold, project, remote
 from lorewright.session import table
 
 QUERIES: dict = {}
@@ -809,3 +810,58 @@ def toc_titles(spark, d):
 def analyze_chapters(spark, d):
     """The whole path: normalise, segment, attribute (K3)."""
     return project.analyze(_chapters(spark, d, "text").select("book_id", "chapter", "text")).select("book_id", "chapter", "seg_order", "type", "text", "speaker", "confidence", "resolution_method")
+
+
+# ---- the rest: A16, A17, D15, F14, H4, H5, I3, L4-L6, the model's closed sets ------------------------------------------------
+
+
+@query("chapter_bodies", f"WITH {_LC} SELECT row_id, text FROM lc WHERE book_id = 1 AND chapter = 2")
+def chapter_bodies(spark, d):
+    """One chapter's body by pushed-down filters; no other column or row group is read."""
+    return latest(table(spark, d, "chapters", "book_id", "chapter", "row_id", "loaded_at", "text").where("book_id = 1 AND chapter = 2"), "book_id", "chapter").select("row_id", "text")
+
+
+@query("legacy_defaults", f"WITH {_LS} SELECT row_id, 1 AS schema_version, coalesce(review_needed, speaker = 'Unknown' OR coalesce(confidence < 0.85, false)) AS review_needed FROM ls")
+def legacy_defaults(spark, d):
+    from lorewright.sources.readers import with_defaults
+
+    return with_defaults(_segments(spark, d, "speaker", "confidence", "review_needed").withColumn("schema_version", F.lit(None).cast("int"))).select("row_id", "schema_version", "review_needed")
+
+
+@query("model_violations", f"WITH {_LS}, v AS (SELECT row_id, unnest([CASE WHEN type NOT IN ('narration', 'dialogue', 'internal_thought', 'system_message') THEN 'type' END, CASE WHEN resolution_method NOT IN ('system', 'rule', 'conversation', 'candidate', 'llm', 'manual', 'unknown') THEN 'resolution_method' END, CASE WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence' END]) AS field FROM ls) SELECT row_id, field FROM v WHERE field IS NOT NULL")
+def model_violations(spark, d):
+    return schemas.violations(_segments(spark, d, "type", "resolution_method", "confidence"))
+
+
+@query("result_words", f"WITH {_LC}, {_LS}, s AS (SELECT book_id, chapter, count(*) AS segments FROM ls GROUP BY ALL) SELECT lc.book_id, CAST(sum(coalesce(word_count, 0)) AS BIGINT) AS words, CAST(sum(coalesce(segments, 0)) AS BIGINT) AS segments FROM lc LEFT JOIN s USING (book_id, chapter) GROUP BY lc.book_id")
+def result_words(spark, d):
+    s = _segments(spark, d, "chapter").groupBy("book_id", "chapter").agg(F.count(F.lit(1)).alias("n"))
+    return _chapters(spark, d, "word_count").join(s, ["book_id", "chapter"], "left").groupBy("book_id").agg(F.sum(F.coalesce("word_count", F.lit(0))).cast("bigint").alias("words"), F.sum(F.coalesce("n", F.lit(0))).alias("segments"))
+
+
+@query("ranked_profiles", f"""WITH {_LP} SELECT book_id, char_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY CASE WHEN canonical_name = 'Narrator' THEN -1 ELSE coalesce(list_position(['major', 'supporting', 'minor', 'unknown'], importance), 9) END, char_id) AS INTEGER) AS rank FROM lp WHERE NOT coalesce(pending, false)""")
+def ranked_profiles(spark, d):
+    order = F.when(F.col("canonical_name") == "Narrator", -1).otherwise(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ["major", "supporting", "minor", "unknown"])), F.col("importance")), F.lit(0)), F.lit(9)))
+    rank = F.row_number().over(Window.partitionBy("book_id").orderBy(order, "char_id"))
+    return _people(spark, d).where(~F.coalesce("pending", F.lit(False))).select("book_id", "char_id", rank.alias("rank"))
+
+
+@query("unknown_reanalysis_targets", f"WITH {_LS} SELECT row_id FROM ls WHERE type IN ('dialogue', 'internal_thought') AND (speaker = 'Unknown' OR review_needed)")
+def unknown_reanalysis_targets(spark, d):
+    return _segments(spark, d, "type", "speaker", "review_needed").where(is_speech(F.col("type")) & ((F.col("speaker") == "Unknown") | F.col("review_needed"))).select("row_id")
+
+
+@query("busy_books", f"WITH {_LC} SELECT DISTINCT book_id FROM lc WHERE status IN ('analyzing', 'generating_audio')")
+def busy_books(spark, d):
+    return review.book_status(_chapters(spark, d, "status")).where("busy").select("book_id")
+
+
+@query("visible_alias_maps")
+def visible_alias_maps(spark, d):
+    return remote.visible_aliases(_names(spark, d, T.name_key), 5).select("book_id", "char_id", F.size("aliases").alias("n"))
+
+
+@query("remote_answers", f"WITH {_LS} SELECT row_id, 'Unknown' AS speaker, 0.5 AS confidence, false AS is_new FROM ls WHERE type IN ('dialogue', 'internal_thought')")
+def remote_answers(spark, d):
+    cache = spark.createDataFrame([], "key string, answer string")
+    return remote.answers(_segments(spark, d, *_FULL), cache).select("row_id", "speaker", F.col("confidence").cast("decimal(2,1)").alias("confidence"), "is_new")

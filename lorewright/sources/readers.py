@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -11,11 +12,13 @@ from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lorewright.functions.text import normalize_text, strip
-from lorewright.operators.pages import html_blocks
+from lorewright.operators.pages import html_blocks, is_structural
+from lorewright.schemas import PROFILES
 
 SUPPORTED = ("txt", "pdf", "docx", "epub")
 MIB = 1 << 20
@@ -164,6 +167,8 @@ def epub_sections(content: bytes) -> tuple[dict, list[dict]]:
             if len(levels) > 1:
                 top = min(blocks[i]["heading_level"] for i in levels)
                 levels = [i for i in levels if blocks[i]["heading_level"] == top]
+            if not levels:
+                levels = [i for i, b in enumerate(blocks) if is_structural(b["text"]) and not b["scene_break"]]
             starts = sorted({0, *levels}) if len(levels) > 1 else [0]
             own = titles.get(href) or next((b["text"] for b in blocks if b["heading_level"]), None) or f"Section {len(sections) + 1}"
             for part, start in enumerate(starts):
@@ -218,3 +223,75 @@ def with_defaults(df: DataFrame, newest: int = 2) -> DataFrame:
     checked = F.when(version > newest, F.raise_error(F.lit("written by a newer version")).cast("int")).otherwise(version)
     conf = F.when(~F.isnan("confidence"), F.col("confidence"))
     return df.withColumn("schema_version", checked).withColumn("review_needed", F.coalesce("review_needed", (F.col("speaker") == "Unknown") | F.coalesce(conf < 0.85, F.lit(False))))
+
+
+def read_pdf(f: DataFrame) -> DataFrame:
+    """A4: path, page, text, problem of PDF pages, where the library for it is installed; else each file is a row with that problem."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            from pypdf import PdfReader
+        except ImportError:
+            PdfReader = None
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    if PdfReader is None:
+                        raise ValueError("no library for PDF is installed")
+                    reader = PdfReader(io.BytesIO(bytes(content)))
+                    if reader.is_encrypted and not reader.decrypt(""):
+                        raise ValueError("the file is encrypted")
+                    texts = [p.extract_text() or "" for p in reader.pages]
+                    if not any(t.strip() for t in texts):
+                        raise ValueError("the pages hold no text; they need OCR")
+                    out += [(path, n, t, None) for n, t in enumerate(texts, 1)]
+                except Exception as e:
+                    out.append((path, None, None, str(e)[:300]))
+            yield pd.DataFrame(out, columns=["path", "page", "text", "problem"]).astype({"page": "Int32"})
+
+    return f.where("format = 'pdf'").select("path", "content").mapInPandas(run, "path string, page int, text string, problem string")
+
+
+def read_profiles(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
+    """Voice profiles of a JSON file, checked (D14); more than ``most`` raise."""
+    rows = spark.read.option("multiLine", True).schema(PROFILES).json(path)
+    n = rows.select(F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("n"), "*")
+    checked = F.when(F.col("n") > most, F.raise_error(F.lit("too many profiles")).cast("string")).otherwise(F.col("id"))
+    speed, volume = F.coalesce("settings.speed", F.lit(1.0)), F.coalesce("settings.volume", F.lit(1.0))
+    ok = speed.between(0.5, 2.0) & volume.between(0.0, 2.0)
+    return n.where(ok).select(checked.alias("voice_id"), "base_voice_id", "name", "language", F.lit(None).cast("string").alias("gender"), "provider", "strategy", speed.alias("speed"), volume.alias("volume"))
+
+
+class BookSource(DataSource):
+    """A11 as a source: spark.read.format("epub").load(folder) after spark.dataSource.register(BookSource). One partition per file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "epub"
+
+    def schema(self) -> str:
+        return _PARTS
+
+    def reader(self, schema):
+        return _BookReader(self.options["path"])
+
+
+class _BookReader(DataSourceReader):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def partitions(self):
+        paths = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(d, n) for d, _, names in os.walk(self.path) for n in names if n.lower().endswith(".epub"))
+        return [InputPartition(p) for p in paths] or [InputPartition(None)]
+
+    def read(self, partition):
+        if partition.value is None:
+            return
+        try:
+            with open(partition.value, "rb") as f:
+                meta, sections = epub_sections(f.read())
+            for s in sections:
+                yield (partition.value, meta.get("title"), meta.get("creator"), meta.get("language"), s["number"], s["title"], s["text"], s["reference"], s["selected_for_processing"], s["narrate"], None)
+        except Exception as e:
+            yield (partition.value, *[None] * 9, f"{type(e).__name__}: {e}"[:300])
