@@ -246,7 +246,7 @@ def _by_wrong() -> tuple[list, list]:
         if len(steps) == 1 and steps[0][0] == "table":
             groups.setdefault(steps[0][2], []).append((name, steps[0][1]))
         else:
-            rest.append(name)
+            rest.append((name, steps[0][0]))
     return list(groups.items()), rest
 
 
@@ -257,6 +257,7 @@ def _high_set(wrong: str) -> frozenset:
 
 #: One-byte tables of other scripts: what they read is no part of a word with Latin letters.
 _OTHER_SCRIPT = frozenset(["cp1251", "koi8_r", "iso8859_5", "cp866", "cp1253", "iso8859_7", "cp1256", "iso8859_6", "cp874", "cp1255", "mac_cyrillic"])
+_PAIR = re.compile(r"[^\x00-\x7f]{2}")
 _IN_LATIN = re.compile(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]")
 
 
@@ -280,7 +281,11 @@ def candidates(token: str) -> Iterator[tuple[str, str]]:
                 yield name, "".join([x if isinstance(x, str) else x.decode(right) for x in parts])
             except UnicodeDecodeError:
                 pass
-    for name in rest:
+    # A UTF-8 sequence shows as two characters beyond ASCII side by side, or as one of a wide table.
+    paired, wide = bool(_PAIR.search(token)), any(c > "\u2e7f" for c in high)
+    for name, kind in rest:
+        if not (wide if kind == "wide" else paired):
+            continue
         if (mended := undo(token, name)) is not None:
             yield name, mended
 
@@ -404,7 +409,9 @@ def judge(df: DataFrame, id_col: str, text_col: str, source_col: str, field: str
 
 
 def mend(text: str, chain: str, first: int, last: int) -> str:
-    """The text with the chain undone between two code points."""
+    """The text with the chain undone between two code points; UTF-8 sequences, which nobody means, in the whole text."""
+    if chains()[chain][0][0] == "utf8":
+        first, last = 0, len(text)
     return text[:first] + _TOKEN.sub(lambda m: m[0] if m[0].isascii() else undo(m[0], chain) or m[0], text[first:last]) + text[last:]
 
 
