@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from lorewright.functions.text import DASH, LINE_ENDS, SCENE_BREAK, split_lines, strip
+from lorewright.session import spread
 
 #: Opening mark, closing mark, type of what they hold. Double marks enclose speech, single marks thought.
 QUOTES = [("“", "”", "dialogue"), ("«", "»", "dialogue"), ('"', '"', "dialogue"), ("‘", "’", "internal_thought"), ("'", "'", "internal_thought")]
@@ -75,7 +76,7 @@ def _segmented(texts: pd.Series) -> pd.Series:
 
 def segment_text(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per utterance: keys, pos from 0, type, text, speaker, scene_break_before. Null and blank texts have none."""
-    rows = df.select(*keys, F.posexplode(_segmented(F.col(text))).alias("pos", "u"))
+    rows = spread(df.select(*dict.fromkeys([*keys, text]))).select(*keys, F.posexplode(_segmented(F.col(text))).alias("pos", "u"))
     speaker = F.when(F.col("u.type") == "narration", "Narrator").otherwise("Unknown").alias("speaker")
     return rows.select(*keys, "pos", "u.type", "u.text", speaker, "u.scene_break_before")
 
