@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewright.llm.p4_lookalikes import look_key
-from lorewright.session import table
+from lorewright.session import spread, table
 
 # Abbreviations by language. "open" never ends a sentence, "number" not before a digit, "end" does before a new start.
 ABBREVIATIONS = {
@@ -229,7 +229,7 @@ def split_sentences(df: DataFrame, id_col: str, text_col: str, lang_col: str) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ends, pa.list_(pa.int32()))], names=[id_col, "ends"])
 
     rows = df.select(id_col, F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).where("_t IS NOT NULL AND _t != ''")
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ends array<int>")
+    return spread(rows).mapInArrow(run, f"`{id_col}` {kind}, ends array<int>")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

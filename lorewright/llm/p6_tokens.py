@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.session import table
+from lorewright.session import spread, table
 
 #: Folder of the public vocabulary files; LOREWRIGHT_TOKENIZERS names another.
 TOKENIZER_DIR = os.environ.get("LOREWRIGHT_TOKENIZERS", "/opt/tokenizers")
@@ -101,7 +101,7 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | No
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.session import table
+from lorewright.session import spread, table
 
 EXACT_WORDS, FUZZY_WORDS, PER_EDIT, RUN_WORDS = 14, 24, 8, 6
 Q_SIZES = (20, 16, 12, 8, 5)
@@ -115,22 +115,21 @@ def _need(lengths: np.ndarray, q: int) -> int:
     """Fewest q-grams at word starts that a case in a passage with these word lengths shares."""
     n = len(lengths)
     begin = np.concatenate([[0], np.cumsum(lengths + 1)])
-    # cover[s]: words touched by the gram at word s
-    last = np.minimum(np.searchsorted(begin, begin[:n] + q - 1, side="right") - 1, n)
-    fits = begin[:n] + q <= begin[n] - 1
-    kills = np.array([int(((np.arange(n) <= j) & (last >= j))[max(0, j - q) : j + 1].sum()) for j in range(n)])
+    # An edit at word j spoils the grams that begin at or before it and reach it.
+    last = np.minimum(np.searchsorted(begin, begin[:n] + q - 1, side="right") - 1, n - 1)
+    change = np.bincount(np.arange(n), minlength=n + 1) - np.bincount(last + 1, minlength=n + 1)
+    kills = np.cumsum(change)[:n]
 
     def worst(size: int, edits: int) -> int:
         if n < size:
             return 1 << 20
-        least = 1 << 20
-        for i in range(n - size + 1):
-            inside = int((fits[i : i + size] & (begin[i : i + size] + q <= begin[i + size] - 1)).sum())
-            least = min(least, inside - int(np.sort(kills[i : i + size])[::-1][:edits].sum()))
-        return least
+        at = np.arange(n - size + 1)
+        inside = np.clip(np.searchsorted(begin, begin[at + size] - 1 - q, side="right") - at, 0, size)
+        spoilt = np.sort(np.lib.stride_tricks.sliding_window_view(kills, size), axis=1)[:, size - edits :].sum(axis=1)
+        return int((inside - spoilt).min())
 
-    # A fuzzy case of 48 words or more holds 24 with at most 3 edits or 32 with at most 4, and so on down to these sizes.
-    return min(worst(EXACT_WORDS, 0), *(worst(s, s // PER_EDIT) for s in range(FUZZY_WORDS, 2 * FUZZY_WORDS) if s <= max(n, FUZZY_WORDS)))
+    # A fuzzy case of 48 words or more holds one of 24 to 47 that keeps the budget.
+    return min(worst(EXACT_WORDS, 0), *(worst(s, s // PER_EDIT) for s in range(FUZZY_WORDS, 2 * FUZZY_WORDS)))
 
 
 class Index:
@@ -305,7 +304,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
                         own = rows.column(0).take(pa.array([d for d, _ in found]))
                         yield pa.RecordBatch.from_arrays([own, pa.array([int(index.ids[k]) for _, k in found], pa.int64())], names=[doc_id, item_id])
 
-        out = out.unionByName(docs.select(doc_id, doc_text).where(f"`{doc_text}` IS NOT NULL").mapInArrow(run, schema))
+        out = out.unionByName(spread(docs.select(doc_id, doc_text).where(f"`{doc_text}` IS NOT NULL")).mapInArrow(run, schema))
     return out
 
 

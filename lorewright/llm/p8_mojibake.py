@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.session import cut, table
+from lorewright.session import cut, spread, table
 
 LOST = "lost"
 NONE = "none"
@@ -229,7 +229,7 @@ def _model(keys: np.ndarray, counts: np.ndarray) -> Model:
 
 def train(df: DataFrame, text_col: str) -> Model:
     """Counts over every text. What comes back is one row per distinct character pair, a number set by the scripts in use."""
-    counts = df.select(text_col).mapInArrow(_count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    counts = spread(df.select(text_col)).mapInArrow(_count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     return _model(counts["key"].to_numpy(dtype=np.int64), counts["n"].to_numpy(dtype=np.int64))
 
 
@@ -364,7 +364,7 @@ def gather(df: DataFrame, id_col: str, text_col: str, source, model: Model) -> D
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(found, item)], names=[id_col, "_source", "found"])
 
-    return df.where(F.col(text_col).isNotNull()).select(id_col, text_col, source.alias("_source")).mapInArrow(run, f"`{id_col}` {kind}, _source string, found array<struct<chain:string,nats:double,first:int,last:int>>")
+    return spread(df.where(F.col(text_col).isNotNull()).select(id_col, text_col, source.alias("_source"))).mapInArrow(run, f"`{id_col}` {kind}, _source string, found array<struct<chain:string,nats:double,first:int,last:int>>")
 
 
 def _pool(pdf: pd.DataFrame, pooled: dict[str, float] | None = None) -> pd.DataFrame:
