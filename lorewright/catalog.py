@@ -14,7 +14,7 @@ from lorewright.functions import text as T
 from lorewright.operators import audio, chapters, characters, chunks, context, edits, incremental, pages, review, segmenter, voices
 from lorewright.operators.tables import is_speech, latest, named
 from lorewright.plans import fold, project, remote
-from lorewright.session import table
+from lorewright.session import exploded, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -578,8 +578,7 @@ def clear_chapter_cache(spark, d):
 
 @query("chunk_text")
 def chunk_text(spark, d):
-    c = _segments(spark, d, "text").select("row_id", F.posexplode(chunks.chunks_column(F.col("text"))).alias("chunk_no", "chunk"))
-    return c
+    return exploded(_segments(spark, d, "text"), ["row_id"], chunks.chunks_column(F.col("text")), "chunk_no", "chunk")
 
 
 @query("chunk_totals_rollup")

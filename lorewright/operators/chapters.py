@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright.functions.text import chapter_id, is_chapter_heading, normalize_text, split_lines, strip, word_count
+from lorewright.session import exploded
 
 
 def text_blocks(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Non-blank lines as blocks, pos from 0 without gaps."""
     blocks = F.filter(F.transform(split_lines(F.col(text)), strip), lambda x: x != "")
-    return df.select(*keys, F.posexplode(blocks).alias("pos", "block"))
+    return exploded(df, keys, blocks, "pos", "block")
 
 
 def detect_chapters(blocks: DataFrame, key: str, heading_level: str | None = None) -> DataFrame:

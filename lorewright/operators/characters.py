@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorewright.functions.text import name_key
 from lorewright.operators.context import with_scenes
+from lorewright.session import exploded
 from lorewright.operators.tables import NARRATOR, UNKNOWN, is_speech, named
 
 
@@ -50,7 +51,8 @@ def mentions(segments: DataFrame, names: DataFrame, longest: int = 8, key: Calla
     texts = segments.where("text IS NOT NULL").select("row_id", "book_id", "chapter", words_of(key(F.col("text"))).alias("w"))
     keyed = names.withColumn("g", words_of(F.col("key"))).where(F.size("g").between(1, longest)).select("book_id", "char_id", "known_from", F.size("g").alias("n"), F.array_join("g", " ").alias("gram"))
     sizes = keyed.select("book_id", "n").distinct()
-    grams = texts.join(sizes, "book_id").where("size(w) >= n").select("row_id", "book_id", "chapter", "n", F.posexplode(F.expr("transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))")).alias("at", "gram"))
+    grams = texts.join(sizes, "book_id").where("size(w) >= n")
+    grams = exploded(grams, ["row_id", "book_id", "chapter", "n"], F.expr("transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))"), "at", "gram")
     hits = grams.join(keyed, ["book_id", "n", "gram"]).where("known_from <= greatest(chapter, 1)").select("row_id", "book_id", "char_id", "at", "n").distinct()
     # Leftmost, longest, without overlap: a hit inside the reach of an earlier or longer one of its character is no mention.
     w = Window.partitionBy("row_id", "char_id").orderBy("at", F.col("n").desc())

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright.functions.text import squeeze, strip
+from lorewright.session import exploded
 
 _STOP = re.compile(r"(?<=[.!?…])\s+")
 _GAP = re.compile(r"\n\s*\n")
@@ -70,7 +71,7 @@ def pause_plan(segments: DataFrame, scene_ms: int = 1000, paragraph_ms: int = 32
     # The speaker before is that of the segment before, whether it has text or not.
     w = Window.partitionBy("book_id", "chapter").orderBy("seg_order", "row_id")
     rows = segments.withColumn("_before", F.lag("speaker").over(w)).withColumn("_n", F.row_number().over(w))
-    rows = rows.select("book_id", "chapter", "row_id", "_n", "speaker", "_before", F.coalesce("scene_break_before", F.lit(False)).alias("_scene"), F.coalesce(F.col("text").contains("\n\n"), F.lit(False)).alias("_gap"), F.posexplode(chunks_column(F.col("text"))).alias("chunk_no", "chunk"))
+    rows = exploded(rows, ["book_id", "chapter", "row_id", "_n", "speaker", "_before", F.coalesce("scene_break_before", F.lit(False)).alias("_scene"), F.coalesce(F.col("text").contains("\n\n"), F.lit(False)).alias("_gap")], chunks_column(F.col("text")), "chunk_no", "chunk")
     place = F.row_number().over(Window.partitionBy("book_id", "chapter").orderBy("_n", "chunk_no"))
     pause = (
         F.when(F.col("place") == 1, 0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from lorewright.functions.text import DASH, LINE_ENDS, SCENE_BREAK, split_lines, strip
-from lorewright.session import spread
+from lorewright.session import exploded, spread
 
 #: Opening mark, closing mark, type of what they hold. Double marks enclose speech, single marks thought.
 QUOTES = [("“", "”", "dialogue"), ("«", "»", "dialogue"), ('"', '"', "dialogue"), ("‘", "’", "internal_thought"), ("'", "'", "internal_thought")]
@@ -76,15 +76,15 @@ def _segmented(texts: pd.Series) -> pd.Series:
 
 def segment_text(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per utterance: keys, pos from 0, type, text, speaker, scene_break_before. Null and blank texts have none."""
-    rows = spread(df.select(*dict.fromkeys([*keys, text]))).select(*keys, F.posexplode(_segmented(F.col(text))).alias("pos", "u"))
+    rows = exploded(spread(df.select(*dict.fromkeys([*keys, text]))), keys, _segmented(F.col(text)), "pos", "u")
     speaker = F.when(F.col("u.type") == "narration", "Narrator").otherwise("Unknown").alias("speaker")
     return rows.select(*keys, "pos", "u.type", "u.text", speaker, "u.scene_break_before")
 
 
 def dash_lines(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """C7, dash branch, and C17: pieces of the lines that open with a dash, without leaving the JVM."""
-    lines = df.select(*keys, F.posexplode(F.transform(split_lines(F.col(text)), strip)).alias("line_no", "line")).where(F.col("line").startswith(DASH))
-    pieces = lines.select(*keys, "line_no", F.posexplode(F.expr(f"slice(split(line, '{DASH}'), 2, size(split(line, '{DASH}')))")).alias("frag_no", "frag"))
+    lines = exploded(df, keys, F.transform(split_lines(F.col(text)), strip), "line_no", "line").where(F.col("line").startswith(DASH))
+    pieces = exploded(lines, [*keys, "line_no"], F.expr(f"slice(split(line, '{DASH}'), 2, size(split(line, '{DASH}')))"), "frag_no", "frag")
     kind = F.when(F.col("frag_no") % 2 == 0, "dialogue").otherwise("narration")
     return pieces.select(*keys, "line_no", "frag_no", kind.alias("type"), strip(F.col("frag")).alias("text")).where("text != ''")
 

@@ -43,6 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def exploded(df: DataFrame, keys: list, array, pos: str, item: str) -> DataFrame:
+    """keys, place and item of every element.
+
+    An inner explode makes Spark filter on the array's size first, which computes the array
+    twice; for arrays that are costly to make, the outer form with a filter behind it computes it once.
+    """
+    return df.select(*keys, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """For work that is heavy per row: at least one partition per core. Input that is split finely enough is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
