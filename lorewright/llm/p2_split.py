@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.session import spread, table
+from lorewright.session import exploded, spread, table
 
 CHAPTER_LIMIT, CHAPTER_OVERLAP = 4000, 200
 SEGMENT_LIMIT, SEGMENT_OVERLAP = 400, 40
@@ -116,7 +116,7 @@ def split_column(text, limit: int, overlap: int):
 def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int, overlap: int) -> DataFrame:
     """One row per piece: the id, piece_no, n_pieces, piece_start, piece_end (code points) and piece."""
     pieces = spread(df.select(id_col, text_col)).select(F.col(id_col).alias(id_col), split_column(F.col(text_col), limit, overlap).alias("_p"))
-    return pieces.select(id_col, F.posexplode("_p").alias("piece_no", "_x")).select(id_col, "piece_no", "_x.n_pieces", "_x.piece_start", "_x.piece_end", "_x.piece")
+    return exploded(pieces, [id_col], F.col("_p"), "piece_no", "_x").select(id_col, "piece_no", "_x.n_pieces", "_x.piece_start", "_x.piece_end", "_x.piece")
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:

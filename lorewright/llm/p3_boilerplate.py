@@ -68,7 +68,7 @@ def boilerplate_blocks(df: DataFrame, id_col: str = "row_id", text_col: str = "t
     def supported(counted: DataFrame, keys: list[str]) -> DataFrame:
         return counted.groupBy("_source", *keys).agg(F.count(F.lit(1)).alias("support")).join(needed, "_source").where("support >= needed").drop("needed")
 
-    lines = keyed.select("_source", F.explode(F.array_distinct(F.filter("_keys", lambda k: k.isNotNull()))).alias("k")).select("_source", "k.a", "k.b")
+    lines = keyed.select("_source", F.explode_outer(F.array_distinct("_keys")).alias("k")).where("k IS NOT NULL").select("_source", "k.a", "k.b")
     nodes = cut(supported(lines, ["a", "b"]))
     held = nodes.groupBy("_source").agg(F.collect_set(F.struct("a", "b")).alias("held"))
     # Only rows' kept lines make edges; the held sets are small by the bound above.

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.session import cut, table
+from lorewright.session import cut, exploded, table
 
 # Letters of other scripts that look like the Latin letter before them.
 LOOKALIKES = {
@@ -153,7 +153,7 @@ def _tokens(text):
 
 def canonical_tokens(texts: DataFrame) -> DataFrame:
     """token -> canonical for every doubtful token of the column ``text``; checkpointed."""
-    counts = texts.select(F.explode(_tokens(F.col("text"))).alias("token")).where("token != ''").groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("plain", F.col("token").rlike(f"^[{PLAIN_CLASS}]*$"))
+    counts = texts.select(F.explode_outer(_tokens(F.col("text"))).alias("token")).where("token != ''").groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("plain", F.col("token").rlike(f"^[{PLAIN_CLASS}]*$"))
 
     @F.pandas_udf("struct<look:string,purity:int>")
     def look(tokens: pd.Series) -> pd.DataFrame:
@@ -172,7 +172,7 @@ def canonical_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(F.col(id_col), F.col(text_col).alias("text"))
     names = canonical_tokens(rows)
     plain = F.coalesce(F.col("text").rlike(f"^[{PLAIN_CLASS}]*$"), F.lit(True))
-    tokens = rows.where(~plain).select(id_col, F.posexplode(_tokens(F.col("text"))).alias("pos", "token"))
+    tokens = exploded(rows.where(~plain), [id_col], _tokens(F.col("text")), "pos", "token")
     mended = tokens.join(names, "token", "left").select(id_col, F.struct("pos", F.coalesce("canonical", "token").alias("t")).alias("x"))
     mended = mended.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.t), " ").alias("canonical"))
     return rows.where(plain).select(id_col, F.lit(False).alias("doubtful"), F.col("text").alias("canonical")).unionByName(mended.select(id_col, F.lit(True).alias("doubtful"), "canonical"))
