@@ -209,6 +209,17 @@ class Names:
             return True
         return n >= 5 and (d == 2 and (n >= 9 or distance(sound(a), sound(b), 1) <= 1) or sound(a) == sound(b))
 
+    def misspelt(self, a: str, b: str) -> bool:
+        """A typing error between one-word names, which no second word bears out: one of them is established, or they are long and begin alike."""
+        n = min(len(a), len(b))
+        if a == b or n < 3 or not self.typo(a, b):
+            return False
+        lo, hi = sorted((self.spread.get(a, 1), self.spread.get(b, 1)))
+        near = distance(a, b, 1) <= 1
+        if n < 5:
+            return near and a[0] == b[0] and hi >= 8 * lo
+        return hi >= 3 * lo or n > 6 and near and a[0] == b[0]
+
     def contracts(self, short: str, full: str) -> bool:
         """fcois -> francois, cie -> compagnie: outer letters kept, of a word that stands in several books."""
         return len(short) >= 3 and len(full) - len(short) >= 2 and short[-1] == full[-1] and self.spread.get(full, 1) >= 4 and _abbreviates(short, full)
@@ -305,6 +316,18 @@ def partial_match(p: dict, q: dict, names: Names, loose: bool) -> bool:
     return False
 
 
+def is_word(p: dict) -> bool:
+    """A name of one word, without number, in a script with gaps or marks between words."""
+    return not p["cjk"] and p["number"] is None and len(p["tokens"]) == 1 and len(p["tokens"][0]) > 1
+
+
+def misspelt_part(p: dict, q: dict, names: Names) -> bool:
+    """Whether the one-word spelling p can be a misspelt part of the complete one q."""
+    if p["cjk"] != q["cjk"] or q["number"] is not None or p["relation"] != q["relation"] or q["phrase"] or len(q["tokens"]) < 2:
+        return False
+    return any(names.misspelt(p["tokens"][0], t) for t in q["tokens"])
+
+
 def is_partial(p: dict) -> bool:
     if p["number"] is not None:
         return False
@@ -332,6 +355,14 @@ def _keys(p: dict) -> Iterator[tuple]:
         yield ("s", sound(p["tokens"][0])[:3], *extra)
 
 
+def _near_keys(token: str, most: int = 2) -> set[str]:
+    """The token with up to so many characters left out: spellings within that many edits or swaps share one."""
+    out = {token}
+    for _ in range(most):
+        out |= {t[:k] + t[k + 1 :] for t in out for k in range(len(t))}
+    return out
+
+
 def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[int]:
     """Cluster number of every spelling of one book."""
     parent = list(range(len(names_in)))
@@ -362,6 +393,16 @@ def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[i
     for i in whole:
         for k in set(_keys(parsed[i])):
             blocks[k].append(i)
+    # One-word names: any of them may be another one's or a longer name's misspelling.
+    words = [i for i in part if is_word(parsed[i])]
+    near: dict[tuple, list[int]] = defaultdict(list)
+    for i in words:
+        token = parsed[i]["tokens"][0]
+        for k in {*_near_keys(token), ("s", sound(token))}:
+            near[k, parsed[i]["relation"]].append(i)
+    pairs = {(x, y) for block in near.values() for x, y in combinations(block, 2)}
+    pairs = sorted((x, y) for x, y in pairs if names.misspelt(parsed[x]["tokens"][0], parsed[y]["tokens"][0]))
+    slipped = {i: [j for j in whole if misspelt_part(parsed[i], parsed[j], names)] for i in words}
     changed = True
     while changed:
         changed = False
@@ -371,14 +412,25 @@ def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[i
                 if find(x) != find(y) and full_match(parsed[x], parsed[y], names):
                     changed |= merge(x, y)
         # Incomplete ones: only where a single profile is compatible.
+        free = set()
         for i in part:
             fits = {find(j) for j in whole if partial_match(parsed[i], parsed[j], names, False)} or {find(j) for j in whole if partial_match(parsed[i], parsed[j], names, True)}
             alike = {find(j) for j in part if j != i and parsed[j]["tokens"] == parsed[i]["tokens"]}
             own = {find(j) for j in whole} & {find(i)}
             if len(fits) == 1 and not (own - fits):
-                changed |= merge(i, fits.pop())
+                changed |= merge(i, next(iter(fits)))
             elif not fits and not own and len(alike) == 1:
                 changed |= merge(i, alike.pop())
+            if not fits and i in slipped:
+                fits = {find(j) for j in slipped[i]}
+                if len(fits) == 1 and not (own - fits):
+                    changed |= merge(i, fits.pop())
+                elif not fits:
+                    free.add(i)
+        # One-word names that are no part of a complete one stand for themselves and are matched like complete ones.
+        for x, y in pairs:
+            if x in free and y in free and find(x) != find(y):
+                changed |= merge(x, y)
     return [find(i) for i in range(len(names_in))]
 
 

@@ -53,3 +53,16 @@ def test_queries(spark):
     pairs = {tuple(r) for r in P.variant_pairs(P.resolve_names(c.drop("name"), a, s)).collect()}
     assert pairs == {(1, "ANA RUIZ", "Ana Ruiz"), (1, "ANA RUIZ", "Ruiz, Ana"), (1, "ANA RUIZ", "la Dama"), (1, "Ana Ruiz", "Ruiz, Ana"), (1, "Ruiz, Ana", "la Dama"), (2, "EVA", "Eva")}
     assert P.variant_pairs(P.resolve_names(c.where("false").drop("name"), a.where("false"), s.where("false"))).count() == 0
+
+
+def test_misspelt_names_of_one_word():
+    assert one("สมาคมช่างหนัง", "สาคมช่างหนัง")
+    assert one("Marlosa", "Marlsoa", spread={"marlosa": 6}) and one("Bruma", "Brmua", spread={"bruma": 6})
+    assert one("Cordeleros", "Cordelreos", "Cordelros")
+    # A misspelt part of a longer name goes to it, but only where a single one fits.
+    assert one("Isabel Marlosa", "Marlsoa", spread={"marlosa": 6})
+    assert len(same("Isabel Marlosa", "Tomás Marlosa", "Marlsoa", spread={"marlosa": 6})) == 3
+    # Established words are names of their own, and short ones have to be borne out.
+    assert not one("สมาคมช่างหนัง", "สมาคมช่างหิน", spread={"สมาคมช่างหนัง": 9, "สมาคมช่างหิน": 8})
+    assert not one("Marla", "Karla") and not one("Ana", "Eva", spread={"ana": 40})
+    assert not one("Hélène Heldornde", "Hélène", "Solène Orlené", spread={"helene": 3, "solene": 1})
