@@ -340,12 +340,11 @@ def stretch_evidence(text: str, evidence) -> dict[str, tuple[float, int, int]]:
     return out
 
 
-#: Chains kept per record; a record's posterior hardly depends on its weaker explanations.
-_KEPT = 4
-
-
 def gather(df: DataFrame, id_col: str, text_col: str, source, model: Model) -> DataFrame:
-    """One row per record with evidence: the id, _source and ``found``, an array of (chain, nats, first, last)."""
+    """One row per record with evidence: the id, _source and ``found``, an array of (chain, nats, first, last).
+
+    Every chain with evidence is kept: many mend a record alike, and only its source's other records tell which of them is the true one.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast((model.keys, model.counts))
     item = pa.list_(pa.struct([("chain", pa.string()), ("nats", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
@@ -357,7 +356,7 @@ def gather(df: DataFrame, id_col: str, text_col: str, source, model: Model) -> D
             at, found = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 if text and not text.isascii() and (x := stretch_evidence(text, evidence)):
-                    best = sorted(x.items(), key=lambda kv: (-kv[1][0], kv[0]))[:_KEPT]
+                    best = sorted(x.items(), key=lambda kv: (-kv[1][0], kv[0]))
                     at.append(i)
                     beyond = max(0.0, best[0][1][0] - MOST)  # cut alike for all, so that their differences stay
                     found.append([{"chain": c, "nats": max(0.0, v[0] - beyond), "first": v[1], "last": v[2]} for c, v in best])

@@ -45,3 +45,19 @@ def test_empty_tables(spark):
     assert P.judge(df.where("false"), "doc_id", "text", "source").count() == 0
     assert P.judge(df.where("text IS NULL"), "doc_id", "text", "source").count() == 0
     assert P.judge(df.where(F.col("text") == "plain text"), "doc_id", "text", "source").count() == 0
+
+
+def test_a_chain_among_many_alike(spark):
+    """Ten chains mend 'se¤or' alike; which one it was only the source's other records tell."""
+    bad = lambda t: "".join(bytes([b]).decode("latin-1") for b in t.encode("cp850"))
+    good = ["el señor escondió el tapiz", "Él llegó al desván", "Ágata y Íñigo, Últimos de Ávila", "la señora Núñez"]
+    rows = [(i, f"{good[i % 4]} {i}. {good[(i + 1) % 4]}", "s0") for i in range(2000)]
+    rows += [(10_000 + i, bad(f"{good[2]} {i}. {good[1]}"), "s1") for i in range(12)]
+    rows += [(20_000, "el se¤or 7", "s1"), (20_001, "el señor 7", "s1")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    model = P.train(df, "text")
+    (found,) = P.gather(df.where("doc_id = 20000"), "doc_id", "text", F.col("source"), model).collect()
+    alike = {n for n in P.chains() if P.undo("se¤or", n) == "señor"}
+    assert {"cp850>latin-1", "cp437>latin-1"} <= alike and alike <= {x["chain"] for x in found["found"]}
+    out = {r["doc_id"]: r for r in P.repair(df, "doc_id", "text", "source").collect()}
+    assert set(out) == {*range(10_000, 10_012), 20_000} and out[20_000]["repaired"] == "el señor 7"
