@@ -41,15 +41,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[^\p{L}\p{M}\p{N}_]+"), lambda x: x != "")
 
 
-def mentions(segments: DataFrame, names: DataFrame, longest: int = 8, key: Callable[[Column], Column] = name_key) -> DataFrame:
+def mentions(segments: DataFrame, names: DataFrame, key: Callable[[Column], Column] = name_key) -> DataFrame:
     """book_id, row_id, char_id, n of whole-name mentions visible at the chapter.
 
     Instead of comparing every text with every name, texts are exploded into word n-grams of the lengths that names
-    have, and joined by equality on (book, n-gram). Where names of one character overlap in a
+    have in their book, however long, and joined by equality on (book, n-gram). Where names of one character overlap in a
     text the longer one counts.
     """
     texts = segments.where("text IS NOT NULL").select("row_id", "book_id", "chapter", words_of(key(F.col("text"))).alias("w"))
-    keyed = names.withColumn("g", words_of(F.col("key"))).where(F.size("g").between(1, longest)).select("book_id", "char_id", "known_from", F.size("g").alias("n"), F.array_join("g", " ").alias("gram"))
+    keyed = names.withColumn("g", words_of(F.col("key"))).where(F.size("g") >= 1).select("book_id", "char_id", "known_from", F.size("g").alias("n"), F.array_join("g", " ").alias("gram"))
     sizes = keyed.select("book_id", "n").distinct()
     grams = texts.join(sizes, "book_id").where("size(w) >= n")
     grams = exploded(grams, ["row_id", "book_id", "chapter", "n"], F.expr("transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))"), "at", "gram")

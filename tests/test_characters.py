@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lorewright.functions.text import name_key
+from lorewright.functions.text import name_key, plain_key
 from lorewright.operators import characters as C
 from lorewright.operators import edits, incremental, review, voices
 from lorewright.plans import fold
@@ -48,6 +48,15 @@ def test_mentions_match_a_plain_model(spark):
     assert got == wanted
 
 
+def test_mentions_of_long_names(spark):
+    """Names of more than eight words are mentioned like any other; hidden characters inside a name split it too."""
+    title, split = "La Muy Noble y Leal Guardia del Puerto de Marlosa", "Gi\ufeffd\u00ade\u200con S\u2060o\u2060lbr\u200bi\u2060r\u2060el"
+    p = cast(spark, (title, 1, None, False), (split, 1, None, False), ("Ana", 1, None, False))
+    s = rows(spark, [(1, "narration", f"Llegó {title}; {title.upper()}.", "Narrator", False), (1, "narration", f"Ana vio a {split}.", "Narrator", False), (1, "narration", "La Muy Noble y Leal Guardia", "Narrator", False)])
+    got = {(r["row_id"], r["char_id"]): r["n"] for r in C.mentions(s, C.names_over_time(p, aliases(spark), plain_key), key=plain_key).collect()}
+    assert got == {(1, "char_000001"): 2, (2, "char_000002"): 1, (2, "char_000003"): 1}
+
+
 def test_statistics_and_importance(spark):
     p = cast(spark, ("Narrator", None, None, False), ("Sunny", 1, None, False))
     s = rows(spark, [(1, "dialogue", "Hola", "Sunny", False), (1, "narration", "Sunny calló.", "Narrator", False), (2, "narration", "Vino Sunny.", "Narrator", False)])
