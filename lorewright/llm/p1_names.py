@@ -119,7 +119,7 @@ def parse(name: str) -> dict:
             if len(r) > 1 and whole.endswith(r) and len(whole) > len(r) + 1:
                 whole, out["relation"] = whole.removesuffix(r), r
         parts = [p for p in regex.split(r"[\s・·,、，=＝]+", whole) if p]
-        out |= {"tokens": tuple(parts), "short": frozenset(), "forms": frozenset({"".join(parts), "".join(parts[::-1])})}
+        out |= {"tokens": tuple(parts), "short": frozenset(), "phrase": False, "forms": frozenset({"".join(parts), "".join(parts[::-1])})}
         return out
     if regex.fullmatch(r"[^,،]+[,،]\s*[^,،]+", whole):
         last, first = regex.split(r"[,،]\s*", whole, maxsplit=1)
@@ -244,74 +244,118 @@ def _abbreviates(short: str, full: str) -> bool:
     return all(c in at for c in short)
 
 
-def full_match(p: dict, q: dict, names: Names) -> bool:
-    """Whether two complete spellings are one name."""
+def unite(members: list[dict]) -> list[dict]:
+    """The profiles of one cluster: its complete spellings of equal make-up, united word by word where they share one.
+
+    slots: alternatives of each word; short: abbreviations; nicks: incomplete names that stand beside the complete ones;
+    orders: the spellings' words in any order.
+    """
+    nicks = {p["tokens"][0] for p in members if is_word(p)} | {p["nick"] for p in members if p["nick"]}
+    out: list[dict] = []
+    for p in members:
+        if is_partial(p):
+            continue
+        words = p["tokens"]
+        for q in out:
+            if any(p[k] != q[k] for k in ("cjk", "number", "relation", "phrase")):
+                continue
+            if p["cjk"]:
+                q["forms"] |= p["forms"]
+                break
+            if len(words) != len(q["slots"]):
+                continue
+            ways = (words, words[::-1]) if len(words) == 2 else (words,)
+            best = max(ways, key=lambda way: sum(w in slot for w, slot in zip(way, q["slots"])))
+            if any(len(w) > 1 and w in slot for w, slot in zip(best, q["slots"])):
+                for w, slot in zip(best, q["slots"]):
+                    slot.add(w)
+                q["turned"] |= best != words
+                q["short"] |= p["short"]
+                q["orders"].add(tuple(sorted(words)))
+                break
+        else:
+            out.append({k: p[k] for k in ("cjk", "number", "relation", "phrase")} | {"forms": set(p["forms"]), "short": set(p["short"]), "slots": [{w} for w in words], "orders": {tuple(sorted(words))}, "turned": False})
+    for q in out:
+        # An initial whose name is known fits no other name.
+        q["slots"] = [{w for w in slot if len(w) > 1 or not any(len(x) > 1 and x.startswith(w) for x in slot)} for slot in q["slots"]]
+        q["nicks"] = nicks - set().union(*q["slots"])
+    # Where surname and given name stand in both orders, either may be meant.
+    return out + [q | {"slots": q["slots"][::-1]} for q in out if q["turned"]]
+
+
+def full_match(p: dict, q: dict, names: Names, initials: bool = False) -> bool:
+    """Whether two profiles of complete spellings are one name; initials: a letter may stand for a name, which more than one may fit."""
     if p["number"] != q["number"] or p["relation"] != q["relation"] or p["cjk"] != q["cjk"]:
         return False
     if p["cjk"]:
         if p["forms"] & q["forms"]:
             return True
         return any(names.slip(a, b) for a in p["forms"] for b in q["forms"])
-    a, b = p["tokens"], q["tokens"]
+    a, b = p["slots"], q["slots"]
     if len(a) == 1 and len(b) == 1:
-        return a == b or (p["number"] is not None or len(a[0]) > 6) and names.typo(a[0], b[0])
+        return bool(a[0] & b[0]) or any((p["number"] is not None or len(s) > 6) and names.typo(s, t) for s in a[0] for t in b[0])
     if len(a) < 2 or len(b) < 2:
         return False
-    if sorted(a) == sorted(b):
+    if p["orders"] & q["orders"]:
         return True
     if len(a) > len(b):
         p, q, a, b = q, p, b, a
     if len(a) == len(b):
         for x in (b, b[::-1]) if len(b) == 2 else (b,):
             equal = fuzzy = slips = 0
-            for s, t in zip(a, x):
-                if s == t and len(s) > 1:
+            for k, (u, v) in enumerate(zip(a, x)):
+                both = [(s, t) for s in u for t in v]
+                if any(s == t and len(s) > 1 for s, t in both):
                     equal += 1
-                elif s in p["short"] and _abbreviates(s, t) or t in q["short"] and _abbreviates(t, s):
+                elif any(s == t for s, t in both):
+                    continue
+                elif any(len(s) > 1 and len(t) > 1 and names.typo(s, t) for s, t in both):
+                    slips += 1
+                elif any(s in p["short"] and _abbreviates(s, t) or t in q["short"] and _abbreviates(t, s) for s, t in both):
                     fuzzy += 1
-                elif names.contracts(s, t) or names.contracts(t, s):
+                elif any(names.contracts(s, t) or names.contracts(t, s) for s, t in both):
                     fuzzy += 1
-                elif len(s) > 1 and len(t) > 1 and names.typo(s, t):
-                    slips += 1
-                elif names.nickname(s, t):
+                elif any(names.nickname(s, t) for s, t in both) or k == 0 and not p["phrase"] and not q["phrase"] and (u & q["nicks"] or v & p["nicks"]):
                     fuzzy += 1
+                elif initials and any(len(s) == 1 and t.startswith(s) or len(t) == 1 and s.startswith(t) for s, t in both):
+                    continue
                 else:
                     break
             else:
                 if equal and fuzzy + slips <= 1 or equal and not fuzzy and slips == 2:
                     return True
                 # Both parts mistyped: each by one edit in a long token.
-                if slips == 2 and len(a) == 2 and all(min(len(s), len(t)) >= 5 and s[0] == t[0] and (distance(s, t, 1) <= 1 or sound(s) == sound(t)) for s, t in zip(a, x)):
+                if slips == 2 and len(a) == 2 and all(any(min(len(s), len(t)) >= 5 and s[0] == t[0] and (distance(s, t, 1) <= 1 or sound(s) == sound(t)) for s in u for t in v) for u, v in zip(a, x)):
                     return True
         return False
     if len(b) - len(a) == 1:
         # A further surname, or a middle name or initial.
         for k in range(1, len(b)):
             rest = b[:k] + b[k + 1 :]
-            if rest == a and b[k] not in _words()[1]:
+            if all(u & v for u, v in zip(rest, a)) and not b[k] <= _words()[1]:
                 return p["phrase"] == q["phrase"]
     return False
 
 
 def partial_match(p: dict, q: dict, names: Names, loose: bool) -> bool:
-    """Whether an incomplete spelling p can stand for the complete one q; loose: by a nickname too."""
+    """Whether an incomplete spelling p can stand for the profile q; loose: by a nickname too."""
     if p["number"] is not None or q["number"] is not None or p["cjk"] != q["cjk"]:
         return False
     if p["relation"] != q["relation"]:
         return False
     if p["cjk"]:
         return any(len(a) >= 2 - p["title"] and (a == b or len(a) < len(b)) and (b.startswith(a) or b.endswith(a) or loose and names.slip(a, b)) for a in p["forms"] for b in q["forms"])
-    a, b = p["tokens"], q["tokens"]
+    a, b = p["tokens"], q["slots"]
     if q["phrase"] or len(b) < 2:
         return False
     if len(a) == 1:
-        return len(a[0]) > 1 and (a[0] in b or loose and names.nickname(a[0], b[0]))
+        return len(a[0]) > 1 and (any(a[0] in v for v in b) or loose and any(names.nickname(a[0], t) for t in b[0]))
     if len(a) == 2:
         for x in (a, a[::-1]):
             s, t = x
-            if (len(s) == 1 or s in p["short"]) and b[0].startswith(s) and len(t) > 1 and (t == b[1] or t == b[-1] or names.typo(t, b[1])):
+            if (len(s) == 1 or s in p["short"]) and any(w.startswith(s) for w in b[0]) and len(t) > 1 and (t in b[1] or t in b[-1] or any(names.typo(t, w) for w in b[1])):
                 return True
-            if (len(t) == 1 or t in p["short"]) and b[1].startswith(t) and len(s) > 1 and (s == b[0] or names.nickname(s, b[0])):
+            if (len(t) == 1 or t in p["short"]) and any(w.startswith(t) for w in b[1]) and len(s) > 1 and (s in b[0] or any(names.nickname(s, w) for w in b[0])):
                 return True
     return False
 
@@ -337,7 +381,7 @@ def is_partial(p: dict) -> bool:
 
 
 def _keys(p: dict) -> Iterator[tuple]:
-    """Blocking keys of a spelling: two true variants share at least one."""
+    """Blocking keys of a profile: two true variants share at least one."""
     extra = (p["number"],)
     if p["cjk"]:
         for f in p["forms"]:
@@ -346,13 +390,17 @@ def _keys(p: dict) -> Iterator[tuple]:
             for k in range(n):  # with one character left out: meets every single edit or swap
                 yield ("-", f[:k] + f[k + 1 :], *extra)
         return
-    for t in p["tokens"]:
-        if len(t) > 1:
-            yield ("t", t, *extra)
-    if len(p["tokens"]) == 2:
-        yield ("i", *sorted(t[0] for t in p["tokens"]), *extra)
-    if len(p["tokens"]) == 1:
-        yield ("s", sound(p["tokens"][0])[:3], *extra)
+    for slot in p["slots"]:
+        for t in slot:
+            if len(t) > 1:
+                yield ("t", t, *extra)
+    if len(p["slots"]) == 2:
+        for s in p["slots"][0]:
+            for t in p["slots"][1]:
+                yield ("i", *sorted((s[0], t[0])), *extra)
+    if len(p["slots"]) == 1:
+        for t in p["slots"][0]:
+            yield ("s", sound(t)[:3], *extra)
 
 
 def _near_keys(token: str, most: int = 2) -> set[str]:
@@ -389,10 +437,6 @@ def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[i
             names.nicknames.setdefault(p["nick"], set()).add(p["tokens"][0])
     whole = [i for i, p in enumerate(parsed) if not is_partial(p)]
     part = [i for i, p in enumerate(parsed) if is_partial(p)]
-    blocks: dict[tuple, list[int]] = defaultdict(list)
-    for i in whole:
-        for k in set(_keys(parsed[i])):
-            blocks[k].append(i)
     # One-word names: any of them may be another one's or a longer name's misspelling.
     words = [i for i in part if is_word(parsed[i])]
     near: dict[tuple, list[int]] = defaultdict(list)
@@ -403,18 +447,46 @@ def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[i
     pairs = {(x, y) for block in near.values() for x, y in combinations(block, 2)}
     pairs = sorted((x, y) for x, y in pairs if names.misspelt(parsed[x]["tokens"][0], parsed[y]["tokens"][0]))
     slipped = {i: [j for j in whole if misspelt_part(parsed[i], parsed[j], names)] for i in words}
+    united: dict[tuple, list[dict]] = {}
+    tried: set[tuple[int, int]] = set()
     changed = True
     while changed:
         changed = False
-        # Complete spellings: profiles that share a key are matched spelling by spelling.
-        for block in blocks.values():
-            for x, y in combinations(block, 2):
-                if find(x) != find(y) and full_match(parsed[x], parsed[y], names):
-                    changed |= merge(x, y)
+        # Complete spellings: every cluster's profiles, enriched by the last round's merges, are blocked and matched anew.
+        members: dict[int, list[int]] = defaultdict(list)
+        for i in range(len(parsed)):
+            members[find(i)].append(i)
+        profiles: list[tuple[int, dict]] = []
+        for root, own in members.items():
+            if tuple(own) not in united:
+                united[tuple(own)] = unite([parsed[i] for i in own])
+            profiles += [(root, q) for q in united[tuple(own)]]
+        blocks: dict[tuple, list[int]] = defaultdict(list)
+        for n, (_, q) in enumerate(profiles):
+            for k in set(_keys(q)):
+                blocks[k].append(n)
+        initials = defaultdict(set)
+        for x, y in sorted({xy for block in blocks.values() for xy in combinations(block, 2)}):
+            (i, p), (j, q) = profiles[x], profiles[y]
+            if find(i) == find(j):
+                continue
+            if (id(p), id(q)) not in tried and full_match(p, q, names):
+                changed |= merge(i, j)
+            elif any(len(w) == 1 for o in (p, q) for slot in o.get("slots", ()) for w in slot) and full_match(p, q, names, True):
+                initials[i].add(j)
+                initials[j].add(i)
+            tried.add((id(p), id(q)))
+        # A name with an initial: only where a single profile is compatible.
+        for i, fits in sorted(initials.items()):
+            own = [q for r, q in profiles if r == i]
+            if any(len(w) == 1 for q in own for slot in q["slots"] for w in slot) and len({find(j) for j in fits}) == 1:
+                changed |= merge(i, min(fits))
+        if changed:
+            continue
         # Incomplete ones: only where a single profile is compatible.
         free = set()
         for i in part:
-            fits = {find(j) for j in whole if partial_match(parsed[i], parsed[j], names, False)} or {find(j) for j in whole if partial_match(parsed[i], parsed[j], names, True)}
+            fits = {find(j) for j, q in profiles if partial_match(parsed[i], q, names, False)} or {find(j) for j, q in profiles if partial_match(parsed[i], q, names, True)}
             alike = {find(j) for j in part if j != i and parsed[j]["tokens"] == parsed[i]["tokens"]}
             own = {find(j) for j in whole} & {find(i)}
             if len(fits) == 1 and not (own - fits):

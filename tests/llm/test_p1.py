@@ -66,3 +66,27 @@ def test_misspelt_names_of_one_word():
     assert not one("สมาคมช่างหนัง", "สมาคมช่างหิน", spread={"สมาคมช่างหนัง": 9, "สมาคมช่างหิน": 8})
     assert not one("Marla", "Karla") and not one("Ana", "Eva", spread={"ana": 40})
     assert not one("Hélène Heldornde", "Hélène", "Solène Orlené", spread={"helene": 3, "solene": 1})
+
+
+def linked(*groups):
+    """Clusters of the names where each group stands under one character, the last stands under none."""
+    names = sorted(n for g in groups for n in g)
+    return same(*names, chars=[[f"c{k}" for k, g in enumerate(groups[:-1]) if n in g] for n in names])
+
+
+def test_merged_profiles_are_matched_anew():
+    # Each word of the new spelling stands in another spelling of the character.
+    assert len(linked(["Josefa Helcerin Vega", "Chispa Helcerin Ruiz"], ["Chispa Helcerin Vega"])) == 1
+    # A name known by itself stands in for the given name.
+    assert len(linked(["Josefa Helcerin", "Chispa"], ["Chispa Helcerin"])) == 1
+    # Either order stays possible.
+    assert len(linked(["Bramonné Silas", "Silas Bramonné"], ["Silas Bramonné Vesrogón"])) == 1
+    assert len(linked(["Josefa Helcerin", "Chispa"], ["Josefa Ruiz", "Lucía Helcerin"])) == 3
+
+
+def test_initials_in_names_of_three_words():
+    assert one("J. García López", "Juan García López") and one("Isabel R. Marlosa", "Isabel Rosa Marlosa")
+    assert one("Isabel R. Marlosa", "Isabel R. Marlossa")
+    # An initial that two names fit says nothing, and one whose name is known fits no other.
+    assert len(same("J. García López", "Juan García López", "José García López")) == 3
+    assert len(linked(["J. García López", "Juan García López"], ["José García López"])) == 2
