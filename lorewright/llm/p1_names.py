@@ -260,6 +260,7 @@ def unite(members: list[dict]) -> list[dict]:
             if any(p[k] != q[k] for k in ("cjk", "number", "relation", "phrase")):
                 continue
             if p["cjk"]:
+                q["spellings"] += not p["forms"] <= q["forms"]
                 q["forms"] |= p["forms"]
                 break
             if len(words) != len(q["slots"]):
@@ -274,7 +275,7 @@ def unite(members: list[dict]) -> list[dict]:
                 q["orders"].add(tuple(sorted(words)))
                 break
         else:
-            out.append({k: p[k] for k in ("cjk", "number", "relation", "phrase")} | {"forms": set(p["forms"]), "short": set(p["short"]), "slots": [{w} for w in words], "orders": {tuple(sorted(words))}, "turned": False})
+            out.append({k: p[k] for k in ("cjk", "number", "relation", "phrase")} | {"forms": set(p["forms"]), "short": set(p["short"]), "slots": [{w} for w in words], "orders": {tuple(sorted(words))}, "turned": False, "spellings": 1})
     for q in out:
         # An initial whose name is known fits no other name.
         q["slots"] = [{w for w in slot if len(w) > 1 or not any(len(x) > 1 and x.startswith(w) for x in slot)} for slot in q["slots"]]
@@ -290,7 +291,7 @@ def full_match(p: dict, q: dict, names: Names, initials: bool = False) -> bool:
     if p["cjk"]:
         if p["forms"] & q["forms"]:
             return True
-        return any(names.slip(a, b) for a in p["forms"] for b in q["forms"])
+        return any(names.slip(a, b) and (distance(a, b, 1) <= 1 or _share_key(a, b)) for a in p["forms"] for b in q["forms"])
     a, b = p["slots"], q["slots"]
     if len(a) == 1 and len(b) == 1:
         return bool(a[0] & b[0]) or any((p["number"] is not None or len(s) > 6) and names.typo(s, t) for s in a[0] for t in b[0])
@@ -337,6 +338,20 @@ def full_match(p: dict, q: dict, names: Names, initials: bool = False) -> bool:
     return False
 
 
+def _share_key(a: str, b: str) -> bool:
+    """Whether two forms are equal but for one character left out of each."""
+    return not _near_keys(a, 1).isdisjoint(_near_keys(b, 1))
+
+
+def doubtful_match(p: dict, q: dict, names: Names) -> bool:
+    """Whether p may be q, as others may be: by initials, or by two edits apart of a spelling that nothing nearer explains."""
+    if p["cjk"] != q["cjk"] or p["number"] != q["number"]:
+        return False
+    if not p["cjk"]:
+        return any(len(w) == 1 for slot in p["slots"] for w in slot) and full_match(p, q, names, True)
+    return p["relation"] == q["relation"] and p["spellings"] == 1 and any(names.spread.get(a, 1) < names.spread.get(b, 1) and names.slip(a, b) for a in p["forms"] for b in q["forms"])
+
+
 def partial_match(p: dict, q: dict, names: Names, loose: bool) -> bool:
     """Whether an incomplete spelling p can stand for the profile q; loose: by a nickname too."""
     if p["number"] is not None or q["number"] is not None or p["cjk"] != q["cjk"]:
@@ -385,10 +400,8 @@ def _keys(p: dict) -> Iterator[tuple]:
     extra = (p["number"],)
     if p["cjk"]:
         for f in p["forms"]:
-            n = len(f)
-            yield ("-", f, *extra)
-            for k in range(n):  # with one character left out: meets every single edit or swap
-                yield ("-", f[:k] + f[k + 1 :], *extra)
+            for k in _near_keys(f):
+                yield ("-", k, *extra)
         return
     for slot in p["slots"]:
         for t in slot:
@@ -400,7 +413,9 @@ def _keys(p: dict) -> Iterator[tuple]:
                 yield ("i", *sorted((s[0], t[0])), *extra)
     if len(p["slots"]) == 1:
         for t in p["slots"][0]:
-            yield ("s", sound(t)[:3], *extra)
+            yield ("s", sound(t), *extra)
+            for k in _near_keys(t):
+                yield ("-", k, *extra)
 
 
 def _near_keys(token: str, most: int = 2) -> set[str]:
@@ -465,22 +480,23 @@ def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[i
         for n, (_, q) in enumerate(profiles):
             for k in set(_keys(q)):
                 blocks[k].append(n)
-        initials = defaultdict(set)
-        for x, y in sorted({xy for block in blocks.values() for xy in combinations(block, 2)}):
+        pairs_now = sorted({xy for block in blocks.values() for xy in combinations(block, 2)})
+        for x, y in pairs_now:
             (i, p), (j, q) = profiles[x], profiles[y]
-            if find(i) == find(j):
-                continue
-            if (id(p), id(q)) not in tried and full_match(p, q, names):
-                changed |= merge(i, j)
-            elif any(len(w) == 1 for o in (p, q) for slot in o.get("slots", ()) for w in slot) and full_match(p, q, names, True):
-                initials[i].add(j)
-                initials[j].add(i)
-            tried.add((id(p), id(q)))
-        # A name with an initial: only where a single profile is compatible.
-        for i, fits in sorted(initials.items()):
-            own = [q for r, q in profiles if r == i]
-            if any(len(w) == 1 for q in own for slot in q["slots"] for w in slot) and len({find(j) for j in fits}) == 1:
-                changed |= merge(i, min(fits))
+            if find(i) != find(j) and (id(p), id(q)) not in tried:
+                tried.add((id(p), id(q)))
+                changed |= full_match(p, q, names) and merge(i, j)
+        if changed:
+            continue
+        # What others may fit as well: only where a single profile is compatible.
+        doubtful = defaultdict(set)
+        for x, y in pairs_now:
+            for (i, p), (j, q) in ((profiles[x], profiles[y]), (profiles[y], profiles[x])):
+                if i != j and doubtful_match(p, q, names):
+                    doubtful[i].add(j)
+        for i, fits in sorted(doubtful.items()):
+            if len(fits) == 1:
+                changed |= merge(i, *fits)
         if changed:
             continue
         # Incomplete ones: only where a single profile is compatible.

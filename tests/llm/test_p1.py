@@ -90,3 +90,11 @@ def test_initials_in_names_of_three_words():
     # An initial that two names fit says nothing, and one whose name is known fits no other.
     assert len(same("J. García López", "Juan García López", "José García López")) == 3
     assert len(linked(["J. García López", "Juan García López"], ["José García López"])) == 2
+
+
+def test_every_true_variant_shares_a_key():
+    for a, b in (("Guard 3", "Gaurd 3"), ("Soldier 2", "Sodlier 2")):
+        assert one(a, b) and not one(a, b[:-1] + "9")
+    assert one("革職人組合", "革組人合", spread={"革職人組合": 6})
+    # Two edits say nothing where another name is nearer.
+    assert not one("闻舟云帆", "闻舟岚舟", "闻舟舟舟", spread={"闻舟云帆": 3})
