@@ -137,8 +137,11 @@ def duplicate_ratio(characters: DataFrame, least: float = 0.78) -> DataFrame:
     character counts prune pairs before the comparison, which runs in Arrow batches."""
     p = characters.where(F.col("canonical_name") != NARRATOR).groupBy("book_id", "char_id").agg(F.min("canonical_name").alias("name")).withColumn("key", name_key(F.col("name")))
     p = p.where("key != ''").withColumn("len", F.length("key"))
-    # Keys of a pair share a character bigram whenever more than half of their characters match in order.
-    grams = p.withColumn("gram", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(len - 1, 1)), i -> substring(key, i, 2)))")))
+    # m matched characters of which no two are neighbours in both keys leave m - 1 others, so a pair without a common
+    # bigram has m <= 1 / (3 - 2 / least): only short keys, which meet by their single characters too.
+    matched = int(1 / (3 - 2 / least)) if least > 2 / 3 else None
+    short = "true" if matched is None or matched > 1000 else f"len <= {int(2 * matched / least) - matched}"
+    grams = p.withColumn("gram", F.explode(F.expr(f"array_distinct(concat(transform(sequence(1, greatest(len - 1, 1)), i -> substring(key, i, 2)), if({short}, split(key, ''), array())))")))
     a = grams.select("book_id", "gram", F.col("char_id").alias("left_id"), F.col("key").alias("a"), F.col("len").alias("la"))
     b = grams.select("book_id", "gram", F.col("char_id").alias("right_id"), F.col("key").alias("b"), F.col("len").alias("lb"))
     near = a.join(b, ["book_id", "gram"]).where((F.col("left_id") < F.col("right_id")) & (2.0 * F.least("la", "lb") >= least * (F.col("la") + F.col("lb")))).select("book_id", "left_id", "right_id", "a", "b").distinct()

@@ -72,6 +72,12 @@ def test_duplicates(spark):
     assert ("char_000004", "char_000005") in {(r["left_id"], r["right_id"]) for r in C.duplicate_ratio(p).collect()}
 
 
+def test_short_duplicates_without_a_common_bigram(spark):
+    p = cast(spark, ("Narrator", None, None, False), ("ハル", 1, None, False), ("ハイル", 1, None, False), ("Al", 1, None, False), ("Ail", 1, None, False), ("Lo", 1, None, False))
+    got = {(r["left_id"], r["right_id"]): r["ratio"] for r in C.duplicate_ratio(p).collect()}
+    assert got == {("char_000002", "char_000003"): 0.8, ("char_000004", "char_000005"): 0.8}
+
+
 def test_merge_rename_and_overrides(spark):
     p = cast(spark, ("Narrator", None, "v0", False), ("Ana", 3, None, False), ("Anna", 1, "v2", True))
     a = aliases(spark, ("char_000003", "Anita", 2), ("char_000002", "la Dama", 1))
