@@ -44,8 +44,10 @@ _LANGS = {"eng": "en", "spa": "es", "fra": "fr", "fre": "fr", "deu": "de", "ger"
 _COMMON = {k: frozenset(v.split()) for k, v in {"en": "the and of in to that was if by at", "es": "el la de que y los en por con sin del", "fr": "le la les et des du que dans sur au", "de": "der die das und den nicht mit von dem", "pt": "o a os da do que em com não uma na no"}.items()}
 
 _CF = r"[\p{Cf}\p{M}]*"
-_CLOSE = r"[\"'”’»›)\]}】）」』〉》〕“]"
-_MARK = regex.compile(rf"(?P<mark>(?:[.．。!！?？؟۔।॥｡⁉⁈‼…;;؛](?:\p{{Cf}}|️)*)+)(?P<close>(?:{_CLOSE}(?:\p{{Cf}})*)*)(?P<gap>\s*)")
+_CLOSE = r"[\"'”’»›)\]}】）」』〉》〕“\p{Pe}\p{Pf}]"
+_MARK = regex.compile(rf"(?P<mark>(?:[.．。!！?？؟۔।॥｡⁉⁈‼…;;؛\p{{SB=STerm}}\p{{SB=ATerm}}](?:\p{{Cf}}|️)*)+)(?P<close>(?:{_CLOSE}(?:\p{{Cf}})*)*)(?P<gap>\s*)")
+#: Sentence terminators of the scripts that the list above doesn't name.
+_OTHER_TERM = regex.compile(r"(?![.．。!！?？؟۔।॥｡⁉⁈‼…;;؛]|⁇)\p{SB=STerm}")
 _QUOTES = regex.compile(r"“[^“”]*”|«[^«»]*»|„[^„“”]*[“”]|「[^「」]*」|『[^『』]*』|\"[^\"]*\"")
 _LEAD = r"(?:[\s\p{Cf}\"'“”„‘’«»‹›「『（(\[¿¡—–\-*_]*)"
 _NEXT = regex.compile(rf"{_LEAD}(?P<c>[^\s\p{{Cf}}])")
@@ -162,7 +164,7 @@ def sentence_ends(text: str, code: str | None = None) -> list[int]:
         ellipsis = "…" in mark and set(mark) <= {"…", "."} or len(mark) > 1 and set(mark) <= {".", "．"}
         if ellipsis and (cjk or not m["gap"]):
             continue
-        wide = any(c in "。！？｡।॥؟" for c in mark)
+        wide = any(c in "。！？｡।॥؟" or _OTHER_TERM.match(c) for c in mark)
         if not m["gap"] and not wide:
             # Without a blank only a strong mark before a capital or an opened sentence parts.
             if weak or not (nxt.isupper() or text[stop] in "¿¡“«„「『"):

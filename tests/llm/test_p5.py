@@ -42,3 +42,9 @@ def test_table(spark):
     got = {r["row_id"]: r["ends"] for r in P.split_sentences(df, "row_id", "text", "lang").collect()}
     assert got[1] == [4, 9] and got[4] == [1] and got[6] == [3] and set(got) == {1, 4, 5, 6} and got[5][-1] == len(rows[4][1]) and len(got[5]) == 5001
     assert P.split_sentences(df.where("false"), "row_id", "text", "lang").count() == 0
+
+
+@pytest.mark.parametrize("text", ["Նա եկավ։|Նա գնաց։", "እሱ መጣ።|እሷ ሄደች።", "သူလာသည်။|သူသွားသည်။", "គាត់មក។|គាត់ទៅ។", "ᠪᠢ ᠢᠷᠡᠪᠡ᠃|ᠪᠢ ᠶᠠᠪᠤᠪᠠ᠃", "ܗܘ ܐܬܐ܂|ܗܝ ܐܙܠܬ܂", "One﹖|Two﹗"])
+def test_terminators_of_other_scripts(text):
+    parts = text.split("|")
+    assert P.sentence_ends(" ".join(parts), None) == [len(parts[0]), len(" ".join(parts))]
