@@ -8,8 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a reduced table may be broadcast; each row here is under about 200 bytes.
+#: Rows and measured bytes up to which a reduced table may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 48 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -33,9 +34,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a checkpointed table if its counted rows stay within the bound, else the table as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _weight(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes, as text, of a table that holds few rows."""
+    row = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, size = df.agg(F.count(F.lit(1)), F.sum(F.coalesce(row, F.lit(0)))).first()
+    return int(n), int(size or 0)
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a table, of which no more than the bound is looked at, is small enough for every task to hold."""
+    n, size = _weight(df.limit(rows + 1))
+    return n <= rows and size <= most
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint for a table whose measured rows and bytes stay within the bounds, else the table as it is. Cheap for checkpointed and read tables."""
+    return F.broadcast(df) if fits(df, rows, most) else df
+
+
+def bounded(df: DataFrame, what: str, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES):
+    """A reference table as pandas rows in the driver; raises where it is larger than such a table may be."""
+    if not fits(df, rows, most):
+        raise ValueError(f"{what}: more than {rows} rows or {most} bytes")
+    return df.toPandas()
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, how: str = "inner", hot: int = 10_000) -> DataFrame:
+    """An equi-join of rows with one row per key, where few keys may hold most rows.
+
+    weight: the column of keyed that says how many rows hold the key; it is dropped. A small keyed table is broadcast. Else the
+    keys that hold at least a ``hot``-th of all rows, of which there are no more than ``hot``, are broadcast, and only the other
+    rows are shuffled. keyed is best checkpointed.
+    """
+    if fits(keyed):
+        return rows.join(F.broadcast(keyed.drop(weight)), keys, how)
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    heavy = keyed.where(F.col(weight) * hot >= total).drop(weight)
+    marked = rows.join(F.broadcast(heavy.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    a = marked.where("_hot").drop("_hot").join(F.broadcast(heavy), keys, how)
+    b = marked.where("_hot IS NULL").drop("_hot").join(keyed.where(F.col(weight) * hot < total).drop(weight), keys, how)
+    return a.unionByName(b)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -53,6 +91,11 @@ def exploded(df: DataFrame, keys: list, array, pos: str, item: str) -> DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy per row: at least one partition per core. Input that is split finely enough is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """For work that is heavy per row: on a master within one process, whose input is often one file of one row group, a partition per core.
+
+    On a cluster the input stays where it is: the scan splits it by bytes (spark.sql.files.maxPartitionBytes), and a text is never shuffled to fill cores.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.master.startswith("local["):
+        return df
+    return df.repartition(sc.defaultParallelism) if df.rdd.getNumPartitions() < sc.defaultParallelism else df
