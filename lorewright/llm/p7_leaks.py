@@ -10,8 +10,10 @@ reach it are verified by banded alignment of words with furthest-reaching points
 A case: at least 14 consecutive words of the passage, or at least 24 of which no more than
 one in eight is replaced, added or left out.
 
-The passages are the stated query set; they are shipped to the tasks in blocks of
-``BLOCK_ITEMS``, each block one pass over the documents without a shuffle.
+The passages are the stated query set. Their measured size decides the number of passes over the documents: up to
+``INDEX_BYTES`` of passages, indexed in blocks of ``BLOCK_ITEMS`` by the executors, are broadcast for one pass without a shuffle.
+
+Scripts without blanks between words (Han, kana, Thai, Lao, Khmer, Burmese) count each letter as a word.
 
 Defined results: null, empty and very short texts hold no case; repeated documents are
 each reported; two items of equal text are both reported.
@@ -20,19 +22,28 @@ each reported; two items of equal text are both reported.
 from __future__ import annotations
 
 import functools
+import math
+import pickle
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorewright.session import spread, table
+from lorewright.session import cut, spread, table
 
 EXACT_WORDS, FUZZY_WORDS, PER_EDIT, RUN_WORDS = 14, 24, 8, 6
 Q_SIZES = (20, 16, 12, 8, 5)
 BLOCK_ITEMS = 5_000
+INDEX_BYTES = 16 << 20
 BAND = 16
+#: Passage words looked at together, and table cells held at a time, in the verification.
+WINDOW, CELLS = 2_048, 1 << 22
+#: First and last code point of the scripts whose letters are words.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,6 +67,26 @@ def _fold_table() -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def _alone() -> np.ndarray:
+    out = np.zeros(0x110000, dtype=bool)
+    for lo, hi in UNSPACED:
+        out[lo : hi + 1] = True
+    return out
+
+
+def _parted(chars: np.ndarray) -> np.ndarray:
+    """With a gap on either side of each letter that is a word."""
+    alone = _alone()[chars]
+    if not alone.any():
+        return chars
+    width = np.where(alone, 3, 1)
+    out = np.repeat(chars, width)
+    at = (np.cumsum(width) - width)[alone]
+    out[at] = out[at + 2] = 32
+    return out
+
+
 def _powers(n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.multiply.accumulate(np.full(n, _BASE, dtype=np.uint64))
@@ -71,7 +102,7 @@ class Folded:
         raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         folded = _fold_table()[raw]
         folded[raw == 1] = 1
-        folded = folded[folded != 0]
+        folded = _parted(folded[folded != 0])
         gap = folded == 32
         keep = ~gap
         keep[1:] |= ~gap[:-1]
@@ -82,6 +113,7 @@ class Folded:
         self.starts, self.lengths = starts, ends[: len(starts)] - starts
         is_mark = self.chars[starts] == 1
         self.text_of = np.cumsum(is_mark)  # the marks themselves are words that match nothing
+        self.is_mark = is_mark
         if len(starts):
             offset = np.arange(len(self.chars)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(self.chars)]])))
             inside = ~gap
@@ -166,15 +198,15 @@ class Index:
         order = np.argsort(keys, kind="stable")
         keys, item, word = keys[order], item[order], word[order]
         unique, begin = np.unique(keys, return_index=True)
-        bits = np.zeros(1 << 22, dtype=bool)
-        bits[(unique >> np.uint64(42)).astype(np.int64)] = True
-        return unique, begin, np.diff(np.append(begin, len(keys))), item, word, bits
-
-    @staticmethod
-    def _hits(docs: Folded, first: np.ndarray, hashes: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """(document << 24 | passage) and shifted diagonal of every hit."""
-        unique, begin, count, item, word, bits = table
-        at = np.flatnonzero(bits[(hashes >> np.uint64(42)).astype(np.int64)])
+        width = min(22, max(12, len(unique).bit_length() + 5))
+        bits = np.zeros(1 << width, dtype=bool)
+        bits[(unique >> np.uint64(64 - width)).astype(np.int64)] = True
+        return unique, begin, np.diff(np.append(begin, len(keys))), item, word, bits, np.uint64(64 - width)
+
+    def _hits(self, docs: Folded, first: np.ndarray, hashes: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """document * passages + passage, and the diagonal (document word minus passage word), of every hit."""
+        unique, begin, count, item, word, bits, shift = table
+        at = np.flatnonzero(bits[(hashes >> shift).astype(np.int64)])
         pos = np.searchsorted(unique, hashes[at]).clip(0, max(0, len(unique) - 1))
         same = unique[pos] == hashes[at] if len(unique) else np.zeros(0, bool)
         at, pos = at[same], pos[same]
@@ -182,15 +214,18 @@ class Index:
         source = np.repeat(at, n)
         posting = np.repeat(begin[pos] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum()))
         doc = docs.text_of[source]
-        return (doc.astype(np.int64) << 24) | item[posting], source - first[doc] - word[posting] + (1 << 12)
+        return doc.astype(np.int64) * len(self.ids) + item[posting], source - first[doc] - word[posting]
 
-    def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
+    def search(self, texts: list[str | None] | Folded) -> list[tuple[int, int]]:
         """(position of the text, position of the passage) of every case."""
-        docs = Folded(texts)
+        docs = texts if isinstance(texts, Folded) else Folded(texts)
         if not len(docs.starts):
             return []
-        is_mark = docs.chars[docs.starts] == 1
-        first = np.concatenate([[0], np.flatnonzero(is_mark) + 1, [len(docs.starts) + 1]])
+        first = np.concatenate([[0], np.flatnonzero(docs.is_mark) + 1, [len(docs.starts) + 1]])
+        # A band's number is its lowest diagonal, counted from the lowest there can be.
+        longest = max(map(len, self.items), default=0)
+        bands = (int(np.diff(first).max()) + longest) // BAND + 3
+        number = lambda pair, diagonal, shift: pair * bands + (diagonal + longest + shift) // BAND
         keys = []
         run_pair, run_diagonal = self._hits(docs, first, docs.runs(), self.run_table)
         possible = np.unique(run_pair)
@@ -201,17 +236,17 @@ class Index:
             near = possible[np.searchsorted(possible, pair).clip(0, len(possible) - 1)] == pair
             pair, diagonal = pair[near], diagonal[near]
             for shift in (0, BAND // 2):
-                key, counts = np.unique((pair << 24) | ((diagonal + shift) // BAND), return_counts=True)
-                key = key[counts >= self.needs[(key >> 24) & 0xFFFFFF]]
-                key = np.intersect1d(key, (run_pair << 24) | ((run_diagonal + shift) // BAND))
-                keys.append(np.stack([key >> 24, (key & 0xFFFFFF) * BAND - shift - (1 << 12)]))
+                key, counts = np.unique(number(pair, diagonal, shift), return_counts=True)
+                key = key[counts >= self.needs[key // bands % len(self.ids)]]
+                key = np.intersect1d(key, number(run_pair, run_diagonal, shift))
+                keys.append(np.stack([key // bands, key % bands * BAND - shift - longest]))
         pair, low = np.concatenate(keys, axis=1)
-        likely = self._plausible(docs, first, pair >> 24, pair & 0xFFFFFF, low)
-        found: dict[int, bool] = {}
-        for x, at in zip(pair[likely].tolist(), low[likely].tolist()):
-            d, k = x >> 24, x & 0xFFFFFF
-            found[x] = found.get(x) or leaks(self.items[k], docs.words[first[d] : first[d + 1] - 1], at)
-        return [(x >> 24, x & 0xFFFFFF) for x, yes in found.items() if yes]
+        doc, item = pair // len(self.ids), pair % len(self.ids)
+        likely = self._plausible(docs, first, doc, item, low)
+        found: dict[tuple[int, int], bool] = {}
+        for d, k, at in zip(doc[likely].tolist(), item[likely].tolist(), low[likely].tolist()):
+            found[d, k] = found.get((d, k)) or leaks(self.items[k], docs.words[first[d] : first[d + 1] - 1], at)
+        return [x for x, yes in found.items() if yes]
 
     def _plausible(self, docs: Folded, first: np.ndarray, d: np.ndarray, k: np.ndarray, low: np.ndarray, chunk: int = 256) -> np.ndarray:
         """Bands with enough equal words: any case holds one whose diagonals spread over at most half a band."""
@@ -219,9 +254,12 @@ class Index:
         order = np.argsort(sizes[k], kind="stable")
         yes = np.zeros(len(k), dtype=bool)
         least = FUZZY_WORDS - (2 * FUZZY_WORDS - 1) // PER_EDIT
-        for at in range(0, len(order), chunk):
+        at = 0
+        while at < len(order):
             c = order[at : at + chunk]
-            n = int(sizes[k[c]].max())
+            c = c[: max(1, CELLS // max(1, int(sizes[k[c[-1]]])))]
+            at += len(c)
+            n = int(sizes[k[c[-1]]])
             words = np.zeros((len(c), n), dtype=np.uint64)
             for row, x in enumerate(k[c].tolist()):
                 words[row, : sizes[x]] = self.items[x]
@@ -241,11 +279,19 @@ class Index:
 
 
 def leaks(item: np.ndarray, doc: np.ndarray, low: int) -> bool:
-    """Banded verification around the diagonals [low, low + BAND)."""
+    """Banded verification around the diagonals [low, low + BAND).
+
+    Every case holds one of less than 2 * FUZZY_WORDS words, so long passages are verified window by window.
+    """
+    most = 2 * FUZZY_WORDS
+    return any(_leaks(item[at : at + WINDOW], doc, low + at) for at in range(0, max(1, len(item) - most), WINDOW - most))
+
+
+def _leaks(item: np.ndarray, doc: np.ndarray, low: int) -> bool:
     n, m = len(item), len(doc)
     if n < EXACT_WORDS:
         return False
-    margin = n // PER_EDIT + 1
+    margin = 2 * FUZZY_WORDS // PER_EDIT + 1
     at = np.arange(n) + np.arange(low - margin, low + BAND + margin)[:, None]
     equal = (doc[at.clip(0, m - 1)] == item) & (at >= 0) & (at < m)
     # Length of the run of equal words that starts at each cell.
@@ -267,7 +313,7 @@ def leaks(item: np.ndarray, doc: np.ndarray, low: int) -> bool:
 def _reach(runs: np.ndarray, row: int, start: int, n: int) -> bool:
     """Furthest passage word per diagonal for 0, 1, 2 ... edits from a run's start."""
     far = {row: start + int(runs[row, start])}
-    for edits in range((n - start) // PER_EDIT + 1):
+    for edits in range(min(n - start, 2 * FUZZY_WORDS) // PER_EDIT + 1):
         if edits:
             step: dict[int, int] = {}
             for r, i in far.items():
@@ -284,27 +330,42 @@ def _reach(runs: np.ndarray, row: int, start: int, n: int) -> bool:
     return False
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK_ITEMS) -> DataFrame:
+def _built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One index for all passages of a partition."""
+    rows = pd.concat([pd.DataFrame({"i": [], "t": []}), *batches])
+    if len(rows):
+        rows = rows.sort_values("i")
+        yield pd.DataFrame({"index": [pickle.dumps(Index([int(i) for i in rows["i"]], rows["t"].tolist()), protocol=5)]})
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK_ITEMS, most: int = INDEX_BYTES) -> DataFrame:
     """doc_id, item_id of every document that repeats a passage."""
     spark = docs.sparkSession
-    passages = sorted((r[0], r[1]) for r in items.select(item_id, item_text).where(f"`{item_text}` IS NOT NULL AND `{item_id}` IS NOT NULL").distinct().collect())
     kind, item_kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"`{doc_id}` {kind}, `{item_id}` {item_kind}"
+    texts = docs.select(doc_id, doc_text).where(f"`{doc_text}` IS NOT NULL")
+    passages = cut(items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL AND i IS NOT NULL").distinct())
+    number, size = passages.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
+    passes = max(1, math.ceil((size or 0) / most))
     out = spark.createDataFrame([], schema)
-    for at in range(0, len(passages), block):
-        part = spark.sparkContext.broadcast(Index(*map(list, zip(*passages[at : at + block]))))
+    for p in range(passes if number else 0):
+        own = passages.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == p) if passes > 1 else passages
+        built = own.repartition(max(1, math.ceil(number / passes / block)), "i").mapInPandas(_built, "index binary").collect()
+        part = spark.sparkContext.broadcast([bytes(r[0]) for r in built])
 
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            index = part.value
+            indexes = [pickle.loads(x) for x in part.value]
             for batch in batches:
                 for lo in range(0, batch.num_rows, 512):
                     rows = batch.slice(lo, 512)
-                    found = index.search(rows.column(1).to_pylist())
-                    if found:
-                        own = rows.column(0).take(pa.array([d for d, _ in found]))
-                        yield pa.RecordBatch.from_arrays([own, pa.array([int(index.ids[k]) for _, k in found], pa.int64())], names=[doc_id, item_id])
-
-        out = out.unionByName(spread(docs.select(doc_id, doc_text).where(f"`{doc_text}` IS NOT NULL")).mapInArrow(run, schema))
+                    folded = Folded(rows.column(1).to_pylist())
+                    for index in indexes:
+                        found = index.search(folded)
+                        if found:
+                            ids = rows.column(0).take(pa.array([d for d, _ in found]))
+                            yield pa.RecordBatch.from_arrays([ids, pa.array([int(index.ids[k]) for _, k in found], pa.int64())], names=[doc_id, item_id])
+
+        out = out.unionByName(spread(texts).mapInArrow(run, schema))
     return out
 
 

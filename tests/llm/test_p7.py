@@ -70,4 +70,23 @@ def test_table(spark):
     got = {tuple(r) for r in P.find_leaks(docs, items).collect()}
     assert got == {(d, i) for d in (1, 2, 6) for i in (7, 8)}
     assert {tuple(r) for r in P.find_leaks(docs, items, block=1).collect()} == got
+    assert {tuple(r) for r in P.find_leaks(docs, items, most=100).collect()} == got
     assert P.find_leaks(docs.where("false"), items).count() == P.find_leaks(docs, items.where("false")).count() == 0
+
+
+def test_long_passages():
+    """No length of passage or document is out of reach: the end of a long passage at the start of a document and the other way round."""
+    rng = random.Random(5)
+    long = [rng.choice(WORDS) + str(i) for i in range(9000)]
+    other = [rng.choice(WORDS) for _ in range(30)]
+    index = P.Index([1, 2], [" ".join(long), " ".join(other)])
+    docs = [" ".join(long[8000:8060]), " ".join(long[:30]), " ".join(["relleno"] * 12000 + long[5000:5040]), " ".join(edited(rng, long[7000:7100], 6)), " ".join(long[8990:]), " ".join(other + long[2040:2060])]
+    assert set(index.search(docs)) == {(0, 0), (1, 0), (2, 0), (3, 0), (5, 0), (5, 1)}
+
+
+def test_scripts_without_blanks():
+    item = "墨言在旧日的码头旁小心地举起了磨坊的罗盘然后离开"
+    index = P.Index([1], [item])
+    assert index.search(["没有人看见。" + item[3:19] + "他说。", item[:13] + "没", item.replace("的", "的，"), "ที่นี่ไม่มีใคร"]) == [(0, 0), (2, 0)]
+    thai = "ไม่มีใครเห็นเรือลำเก่าที่ท่าน้ำในคืนนั้นเลย"
+    assert P.Index([1], [thai]).search(["เขาว่า" + thai]) == [(0, 0)]
