@@ -55,9 +55,32 @@ def test_a_chain_among_many_alike(spark):
     rows += [(10_000 + i, bad(f"{good[2]} {i}. {good[1]}"), "s1") for i in range(12)]
     rows += [(20_000, "el se¤or 7", "s1"), (20_001, "el señor 7", "s1")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    model = P.train(df, "text")
+    model = P.train(df, "text")  # counts, of which each task makes its model
     (found,) = P.gather(df.where("doc_id = 20000"), "doc_id", "text", F.col("source"), model).collect()
     alike = {n for n in P.chains() if P.undo("se¤or", n) == "señor"}
     assert {"cp850>latin-1", "cp437>latin-1"} <= alike and alike <= {x["chain"] for x in found["found"]}
     out = {r["doc_id"]: r for r in P.repair(df, "doc_id", "text", "source").collect()}
     assert set(out) == {*range(10_000, 10_012), 20_000} and out[20_000]["repaired"] == "el señor 7"
+
+
+def test_no_chain_is_left_out_of_words_with_latin_letters():
+    import numpy as np
+
+    (b,) = P._count(iter([__import__("pyarrow").RecordBatch.from_arrays([__import__("pyarrow").array([t * 20 for t in TEXTS.values()])], names=["t"])]))
+    model = P.Model(b.column(0).to_numpy(), b.column(1).to_numpy())
+    one, two = P.tokens_evidence(["webñàéò", "ñàéò"], model)
+    assert {"cp1251>latin-1", "koi8_r>latin-1"} <= one.keys() & two.keys()
+    # Look-up tables and the plain way, one chain at a time, agree for every token and chain.
+    tokens = ["Ã±", "seÃ±or", "ïðÿ÷åò", "se¤or", "Ð¿Ñ€Ñ", "MaÃ±ana,", "墨言在旧日的码头旁", "«Â»", "a b", "😀ñ"]
+    for token, found in zip(tokens, P.tokens_evidence(tokens, model)):
+        wanted = {c for c in P.chains() if (x := P.undo(token, c)) and x != token}
+        assert wanted == found.keys(), token
+        for c in wanted:
+            (gain,) = model.gains(*P._line([P.undo(token, c)]), model.scores(*P._line([token])))
+            assert np.isclose(gain, found[c], atol=1e-3), (token, c)
+
+
+def test_a_source_in_parts_is_pooled_like_one(spark):
+    df, garbled, lost = corpus(spark)
+    whole = {r["doc_id"] for r in P.judge(df, "doc_id", "text", "source").collect()}
+    assert {r["doc_id"] for r in P.judge(df, "doc_id", "text", "source", group=2).collect()} == whole == {*garbled, lost}
