@@ -43,6 +43,9 @@ ORDINAL_LEADS = "der die das dem den des am im vom zum zur ein eine einen einem
 _LANGS = {"eng": "en", "spa": "es", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "por": "pt", "rus": "ru", "ell": "el", "gre": "el", "hin": "hi", "ara": "ar", "jpn": "ja", "zho": "zh", "chi": "zh", "tha": "th"}
 _COMMON = {k: frozenset(v.split()) for k, v in {"en": "the and of in to that was if by at", "es": "el la de que y los en por con sin del", "fr": "le la les et des du que dans sur au", "de": "der die das und den nicht mit von dem", "pt": "o a os da do que em com não uma na no"}.items()}
 
+#: Most characters of a time of day that opens a sentence, and of what stands between an ordinal and the word before it.
+OPENER = 200
+
 _CF = r"[\p{Cf}\p{M}]*"
 _CLOSE = r"[\"'”’»›)\]}】）」』〉》〕“\p{Pe}\p{Pf}]"
 _MARK = regex.compile(rf"(?P<mark>(?:[.．。!！?？؟۔।॥｡⁉⁈‼…;;؛\p{{SB=STerm}}\p{{SB=ATerm}}](?:\p{{Cf}}|️)*)+)(?P<close>(?:{_CLOSE}(?:\p{{Cf}})*)*)(?P<gap>\s*)")
@@ -56,7 +59,7 @@ _TIME_OPENER = regex.compile(r"^[\W]*(?:(?:at|by|a|às|à|ao|en|um|gegen|vers|в
 _THAI_GAP = regex.compile(r"(?<=[\p{L}\p{M}ฯๆ\"”’)!?.…][\p{Cf}]*)(?P<gap>\s+)(?=[\p{Cf}]*[\"“‘(]*\p{L})")
 _HIDDEN = regex.compile(r"\p{Cf}")
 _ACCENTS = regex.compile(r"[\u0300-\u036f]")
-_LINE_END = regex.compile(r"\s*(?:\r?\n|\u2028|\u2029)\s*")
+_LINE_END = regex.compile(r"(?<!\s)\s*(?:\r?\n|\u2028|\u2029)\s*")
 _THAI = regex.compile(r"\p{Thai}")
 
 
@@ -83,7 +86,7 @@ _LATIN = regex.compile(r"\p{Latin}+")
 _REPORTS_AFTER = regex.compile(r"[\p{Cf}]*(\s*)([,，、]|[—–-]\s*\p{Ll}|\p{Ll}|\p{Lo})")
 _UNCASED = regex.compile(r"\p{Lo}")
 _FIRST_WORD = regex.compile(r"\W*([\p{L}\p{M}-]+)")
-_LEADS_IN = regex.compile(r"[:：,，]\s*\Z")
+_LEADS_IN = frozenset(":：,，")
 _CLINGING = regex.compile(r"[\p{Cf}️]")
 _WORD_AT = regex.compile(r"[\p{L}\p{M}'’-]+")
 _LETTER_BEFORE = regex.compile(r"(?:^|[\s(,])(\p{L})[.．]\p{Cf}*\s*\Z")
@@ -116,19 +119,37 @@ def language(code: str | None, text: str) -> str:
     return max(_COMMON, key=lambda k: (sum(w in _COMMON[k] for w in words), k == "es"))
 
 
+def _before(text: str, at: int) -> str:
+    """The last character before a place that isn't blank."""
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    return text[at - 1 : at]
+
+
+class _Spans:
+    """Whether places, asked for in rising order, lie in one of the spans, which follow each other."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.spans, self.at = spans, 0
+
+    def hold(self, place: int) -> bool:
+        while self.at < len(self.spans) and self.spans[self.at][1] <= place:
+            self.at += 1
+        return self.at < len(self.spans) and self.spans[self.at][0] <= place
+
+
 def _quoted(text: str, caseless: bool) -> list[tuple[int, int]]:
     """Spans in which a mark ends nothing: quotations with a reporting clause after or before them."""
     spans = []
     shouting = text.isupper()
     for m in _QUOTES.finditer(text):
-        rest = text[m.end() :]
-        after = _REPORTS_AFTER.match(rest)
+        after = _REPORTS_AFTER.match(text, m.end())
         follows = bool(after) and (not _UNCASED.match(after[2]) or caseless)
-        if not follows and shouting and (w := _FIRST_WORD.match(rest)):
+        if not follows and shouting and (w := _FIRST_WORD.match(text, m.end())):
             follows = _folded(w[1]) in _REPORTING
         if follows:
             spans.append((m.start(), m.end()))
-        elif _LEADS_IN.search(text[: m.start()]):
+        elif _before(text, m.start()) in _LEADS_IN:
             spans.append((m.start(), m.end() - 2))
     return spans
 
@@ -148,11 +169,11 @@ def sentence_ends(text: str, code: str | None = None) -> list[int]:
     spans = _quoted(text, caseless) if marks and any(c in text for c in "“«„「『\"") else []
     open_, number, end_ = _lists(lang)
     shouting = text.isupper()
-    last = 0
+    last, inside = 0, _Spans(spans)
     for m in marks:
         stop = m.end("close")
         mark = _CLINGING.sub("", m["mark"])
-        if any(a <= m.start() < b for a, b in spans):
+        if inside.hold(m.start()):
             continue
         if mark.strip(";;؛") == "" and not (lang == "el"):
             continue
@@ -171,8 +192,8 @@ def sentence_ends(text: str, code: str | None = None) -> list[int]:
                 continue
         if nxt.islower() or nxt in ",;:，、؛…":
             continue
-        word_after = _WORD_AT.match(text[following.start("c") :])
-        after = _folded(word_after[0]) if word_after and shouting else ""
+        word_after = _WORD_AT.match(text, following.start("c")) if shouting else None
+        after = _folded(word_after[0]) if word_after else ""
         if shouting and after and (after in _REPORTING or ellipsis and after in _CARRY_ON):
             continue
         if weak and not m["close"]:
@@ -188,10 +209,10 @@ def sentence_ends(text: str, code: str | None = None) -> list[int]:
                     head = _folded(x[1]) + "." + head
                     lead = lead[: x.start(1)]
                 single = _SINGLE.fullmatch(raw)
-                if single and _LETTER_AFTER.match(text[following.start("c") :]):
+                if single and _LETTER_AFTER.match(text, following.start("c")):
                     continue
                 if head in end_ or word in end_ and head == word:
-                    if _NOON.fullmatch(head) and _TIME_OPENER.match(look_key(text[last : m.start()].strip())):
+                    if _NOON.fullmatch(head) and m.start() - last <= OPENER and _TIME_OPENER.match(look_key(text[last : m.start()].strip())):
                         continue
                     if shouting and after in _FUNCTION_WORDS:
                         continue
@@ -204,19 +225,21 @@ def sentence_ends(text: str, code: str | None = None) -> list[int]:
                 elif _INITIALS.fullmatch(raw) and len(raw) <= 5 and ("." in raw or "-" in raw):
                     continue
                 elif lang == "de" and raw.isdigit():
-                    lead_word = _LAST_WORD.search(text[last : before.start()])
+                    lead_word = _LAST_WORD.search(text, max(last, before.start() - OPENER), before.start())
                     if lead_word and _folded(lead_word[1]) in _ORDINAL_LEADS:
                         continue
         ends.add(stop)
         last = stop
     if lang == "th":
+        inside = _Spans(spans)
         for m in _THAI_GAP.finditer(text):
-            if not any(a <= m.start() < b for a, b in spans):
+            if not inside.hold(m.start()):
                 ends.add(m.start())
     for m in _LINE_END.finditer(text):
         if 0 < m.start() and m.end() < n and (not text[m.end()].islower() or text.count("\n", m.start(), m.end()) > 1):
             ends.add(m.start())
-    ends = {e for e in ends if text[e:].strip()}
+    bare = len(text.rstrip())
+    ends = {e for e in ends if e < bare}
     return sorted(ends | {n})
 
 

@@ -48,3 +48,21 @@ def test_table(spark):
 def test_terminators_of_other_scripts(text):
     parts = text.split("|")
     assert P.sentence_ends(" ".join(parts), None) == [len(parts[0]), len(" ".join(parts))]
+
+
+@pytest.mark.parametrize("piece", ["One. Two! “Three.” said he. ", "At 5 p.m. Erin lost no. 4 of J. R. Q. ", "Der 2. Bote kam. ", "“Halt! ", "no end: “a”, ", "ไป มา ", "   ", "\n \n", "Նա եկավ։ ", "bo. "])
+def test_time_grows_with_the_text(piece):
+    """A megabyte takes seconds, whatever it is made of."""
+    import time
+
+    text = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    ends = P.sentence_ends(text, "de" if "Der" in piece else None)
+    assert ends[-1] == len(text) and time.process_time() - began < 40
+
+
+def test_a_text_in_pieces_is_split_alike():
+    piece = "One. Two! “Three.” said he. At 5 p.m. Erin lost no. 4 of J. R. Q. Lee. "
+    (first, *_), many = [P.sentence_ends(piece, "en")], P.sentence_ends(piece * 50, "en")
+    inner = [e for e in first[:-1]]
+    assert many == [k * len(piece) + e for k in range(50) for e in [*inner, len(piece) - 1]][:-1] + [50 * len(piece)]
