@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewright.llm.p4_lookalikes import _TWIN, LOOKALIKES, look_key
-from lorewright.session import cut, table
+from lorewright.session import cut, join_hot, table
 
 # Titles before a name, by language; words that mark a family member; particles and articles.
 TITLES = """mr mrs ms miss mister madam dr doctor prof professor captain capt sergeant sgt lieutenant lt colonel col major general sir lady lord dame brother sister father mother saint st inspector judge master mistress
@@ -418,17 +418,81 @@ def _keys(p: dict) -> Iterator[tuple]:
                 yield ("-", k, *extra)
 
 
-def _near_keys(token: str, most: int = 2) -> set[str]:
+@functools.lru_cache(maxsize=1 << 14)
+def _near_keys(token: str, most: int = 2) -> frozenset[str]:
     """The token with up to so many characters left out: spellings within that many edits or swaps share one."""
     out = {token}
     for _ in range(most):
         out |= {t[:k] + t[k + 1 :] for t in out for k in range(len(t))}
-    return out
+    return frozenset(out)
+
+
+def _slip_keys(token: str) -> set[tuple]:
+    """Keys of which a word and its misspelling share one."""
+    return {*(("-", k) for k in _near_keys(token)), ("s", sound(token))}
+
+
+def _part_keys(p: dict, names: Names) -> Iterator[tuple]:
+    """Blocking keys of an incomplete spelling: the profiles that ``partial_match`` takes share one of ``_whole_keys``."""
+    if p["cjk"]:
+        for f in p["forms"]:
+            yield ("e", f)
+            for k in _near_keys(f):
+                yield ("-", k)
+        return
+    for t in p["tokens"]:
+        if len(t) > 1:
+            yield ("t", t)
+            yield ("n", t)
+            for given in names.nicknames.get(t, ()):
+                yield ("g", given)
+            if len(p["tokens"]) > 1:
+                for k in _slip_keys(t):
+                    yield k
+
+
+def _whole_keys(q: dict, names: Names) -> Iterator[tuple]:
+    if q["cjk"]:
+        for f in q["forms"]:
+            for k in range(1, len(f)):
+                yield ("e", f[:k])
+                yield ("e", f[k:])
+            yield ("e", f)
+            for k in _near_keys(f):
+                yield ("-", k)
+        return
+    for slot in q["slots"]:
+        for t in slot:
+            yield ("t", t)
+    for t in q["slots"][0]:
+        yield ("g", t)
+        for short in names.nicknames.get(t, ()):
+            yield ("n", short)
+    for slot in q["slots"][1:2]:
+        for t in slot:
+            for k in _slip_keys(t):
+                yield k
+
+
+class Blocks:
+    """Entries by key: candidates are looked up, never paired one with all."""
+
+    def __init__(self) -> None:
+        self.held: dict[tuple, list[int]] = defaultdict(list)
+
+    def add(self, entry: int, keys: Iterator[tuple]) -> None:
+        for k in set(keys):
+            self.held[k].append(entry)
+
+    def near(self, keys: Iterator[tuple]) -> list[int]:
+        return sorted({x for k in set(keys) for x in self.held.get(k, ())})
 
 
 def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[int]:
     """Cluster number of every spelling of one book."""
     parent = list(range(len(names_in)))
+    parsed = [parse(n) for n in names_in]
+    complete = [not is_partial(p) for p in parsed]  # whether the cluster of a root holds a complete spelling
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -437,8 +501,8 @@ def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[i
         return x
 
     def merge(x: int, y: int) -> bool:
-        x, y = find(x), find(y)
-        parent[max(x, y)] = min(x, y)
+        x, y = sorted((find(x), find(y)))
+        parent[y], complete[x] = x, complete[x] or complete[y]
         return x != y
 
     seen: dict = {}
@@ -446,7 +510,6 @@ def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[i
         for c in own:
             merge(i, seen.setdefault(("c", c), i))
         merge(i, seen.setdefault(("f", fold(names_in[i])), i))
-    parsed = [parse(n) for n in names_in]
     for i, p in enumerate(parsed):
         if p["nick"] and len(p["tokens"]) > 1:
             names.nicknames.setdefault(p["nick"], set()).add(p["tokens"][0])
@@ -461,7 +524,14 @@ def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[i
             near[k, parsed[i]["relation"]].append(i)
     pairs = {(x, y) for block in near.values() for x, y in combinations(block, 2)}
     pairs = sorted((x, y) for x, y in pairs if names.misspelt(parsed[x]["tokens"][0], parsed[y]["tokens"][0]))
-    slipped = {i: [j for j in whole if misspelt_part(parsed[i], parsed[j], names)] for i in words}
+    long = Blocks()
+    for j in whole:
+        if not parsed[j]["cjk"] and len(parsed[j]["tokens"]) > 1:
+            long.add(j, (k for t in parsed[j]["tokens"] for k in _slip_keys(t)))
+    slipped = {i: [j for j in long.near(_slip_keys(parsed[i]["tokens"][0])) if misspelt_part(parsed[i], parsed[j], names)] for i in words}
+    same: dict[tuple, list[int]] = defaultdict(list)
+    for i in part:
+        same[parsed[i]["tokens"]].append(i)
     united: dict[tuple, list[dict]] = {}
     tried: set[tuple[int, int]] = set()
     changed = True
@@ -501,10 +571,14 @@ def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[i
             continue
         # Incomplete ones: only where a single profile is compatible.
         free = set()
+        around = Blocks()
+        for n, (_, q) in enumerate(profiles):
+            around.add(n, _whole_keys(q, names))
         for i in part:
-            fits = {find(j) for j, q in profiles if partial_match(parsed[i], q, names, False)} or {find(j) for j, q in profiles if partial_match(parsed[i], q, names, True)}
-            alike = {find(j) for j in part if j != i and parsed[j]["tokens"] == parsed[i]["tokens"]}
-            own = {find(j) for j in whole} & {find(i)}
+            near_by = [profiles[n] for n in around.near(_part_keys(parsed[i], names))]
+            fits = {find(j) for j, q in near_by if partial_match(parsed[i], q, names, False)} or {find(j) for j, q in near_by if partial_match(parsed[i], q, names, True)}
+            alike = {find(j) for j in same[parsed[i]["tokens"]] if j != i}
+            own = {find(i)} if complete[find(i)] else set()
             if len(fits) == 1 and not (own - fits):
                 changed |= merge(i, next(iter(fits)))
             elif not fits and not own and len(alike) == 1:
@@ -581,8 +655,9 @@ def resolve_names(characters: DataFrame, aliases: DataFrame, segments: DataFrame
     spread = rows.select("book_id", F.explode("tokens").alias("token")).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("books"))
     learnt = rows.groupBy("book_id").applyInPandas(_learn, f"book_id {kind}, token string, given string")
     learnt = learnt.groupBy("token", "given").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").groupBy("token").agg(F.collect_set("given").alias("givens"))
-    # The token statistics go to each name by way of a join, never as one table to all tasks.
-    stats = rows.select("book_id", "name", F.explode("tokens").alias("token")).join(spread, "token").join(learnt, "token", "left")
+    # The token statistics go to each name by way of a join that holds hot tokens apart, never as one table to all tasks.
+    known = cut(spread.join(learnt, "token", "left").withColumn("_w", F.col("books")))
+    stats = join_hot(rows.select("book_id", "name", F.explode("tokens").alias("token")), known, ["token"], "_w")
     stats = stats.groupBy("book_id", "name").agg(F.collect_list(F.struct("token", "books", "givens")).alias("stats"))
     ready = rows.select("book_id", "name", "chars").join(stats, ["book_id", "name"], "left").withColumn("stats", F.coalesce("stats", F.array().cast("array<struct<token:string,books:bigint,givens:array<string>>>")))
     return cut(ready.groupBy("book_id").applyInPandas(_resolve_book, f"book_id {kind}, name string, chars array<string>, entity int"))

@@ -98,3 +98,32 @@ def test_every_true_variant_shares_a_key():
     assert one("革職人組合", "革組人合", spread={"革職人組合": 6})
     # Two edits say nothing where another name is nearer.
     assert not one("闻舟云帆", "闻舟岚舟", "闻舟舟舟", spread={"闻舟云帆": 3})
+
+
+def test_blocking_loses_no_match():
+    """Every pair of an incomplete spelling and a profile that match shares a key."""
+    names = P.Names({}, defaultdict(set, {k: set(v) for k, v in P._words()[3].items()}))
+    spellings = ["Isabel Marlosa", "Isa", "Isabel M.", "I. Marlosa", "Marlsoa", "I. Marlsoa", "Marlosa I.", "Sra. Marlosa", "Guadalupe Ruiz", "Lupe", "Lupe R.", "Guadalupe", "月見坂ハル", "月見坂さん", "ハル", "灰原崎トワ", "トワ", "灰原崎", "岑川望舒", "望舒", "岑川", "Валерий Брумалин", "Валера", "В. Брумалин", "Josefa Helcerin Vega", "Vega"]
+    parsed = [P.parse(n) for n in spellings]
+    found = 0
+    for p in filter(P.is_partial, parsed):
+        for q in P.unite([x for x in parsed if not P.is_partial(x)][:1]) + [u for x in parsed if not P.is_partial(x) for u in P.unite([x])]:
+            for loose in (False, True):
+                if P.partial_match(p, q, names, loose):
+                    found += 1
+                    assert set(P._part_keys(p, names)) & set(P._whole_keys(q, names)), (p, q)
+    assert found > 15
+
+
+def test_a_large_cast_takes_no_pairs_of_all():
+    """2,000 people and as many incomplete names: what is compared grows with what shares a key."""
+    people = [f"{a}{b} {c}{d}" for a in ("Mar", "Tol", "Ker", "Vis", "Bra") for b in ("ana", "edo", "ico", "ula") for c in ("Dom", "Fes", "Gul", "Hart", "Jor", "Kist", "Lamp", "Nord", "Pell", "Quin") for d in ("ariz", "enko", "ison", "ovic", "umba", "elli", "anti", "ored", "ubis", "ekka")]
+    part = [n.split()[0][0] + ". " + n.split()[1] for n in people[::5]]
+    tried = []
+    full = P.partial_match
+    try:
+        P.partial_match = lambda *a: tried.append(1) or full(*a)
+        clusters = same(*people, *part)
+    finally:
+        P.partial_match = full
+    assert len(tried) < len(people) * len(part) / 5 and len(clusters) > 100
