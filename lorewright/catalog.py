@@ -6,6 +6,8 @@ that the SQL engine can't express; their operators are tested against models in
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from lorewright.functions import text as T
 from lorewright.operators import audio, chapters, characters, chunks, context, edits, incremental, pages, review, segmenter, voices
 from lorewright.operators.tables import is_speech, latest, named
 from lorewright.plans import fold, project, remote
-from lorewright.session import exploded, table
+from lorewright.session import cut, exploded, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,8 +37,26 @@ def _squeeze(x: str) -> str:
     return f"regexp_replace({_strip(x)}, '{_WS}+', ' ', 'g')"
 
 
+def _alike(lo: int, hi: int) -> list[tuple[str, str]]:
+    """Characters of a range whose compatibility form is another single character."""
+    pairs = [(c, unicodedata.normalize("NFKD", c)) for c in map(chr, range(lo, hi))]
+    return [(c, d) for c, d in pairs if c != d and len(d) == 1]
+
+
+# What folding does beyond accents: other widths and raised digits, the letters with a dot below of the Devanagari script, one sigma.
+_SINGLE = [*_alike(0xFF01, 0xFFA0), *_alike(0x2070, 0x209D), *_alike(0xB2, 0xBB), ("‑", "‐"), ("ς", "σ")]
+_SINGLE += [(c, unicodedata.normalize("NFKD", c)[0]) for c in map(chr, [*range(0x958, 0x960), 0x929, 0x931, 0x934])]
+_DOUBLE = [("ß", "ss"), ("ẞ", "ss"), ("…", "..."), ("ﬁ", "fi"), ("ﬂ", "fl"), ("\u0e33", "\u0e4d\u0e32")]
+
+
 def _key(x: str) -> str:
-    return f"translate(lower({_squeeze(x)}), 'ς', 'σ')"
+    """The folded name key. The engine's accent stripping takes vowel signs away too, so Devanagari and Thai lose only the marks that fold."""
+    y = _squeeze(x)
+    for a, b in _DOUBLE:
+        y = f"replace({y}, '{a}', '{b}')"
+    y = "lower(translate({}, '{}', '{}'))".format(y, *("".join(z).replace("'", "''") for z in zip(*_SINGLE)))
+    fold = "CASE WHEN regexp_matches(x, '[\\x{900}-\\x{97f}]') THEN regexp_replace(x, '[\\x{93c}\\x{94d}]', '', 'g') WHEN regexp_matches(x, '[\\x{e00}-\\x{e7f}]') THEN regexp_replace(x, '[\\x{e38}-\\x{e3a}\\x{e48}-\\x{e4b}]', '', 'g') ELSE strip_accents(x) END"
+    return f"list_transform([{y}], lambda x: {fold})[1]"
 
 
 def query(name: str, sql: str | None = None):
@@ -183,7 +203,9 @@ def chapters_detected(spark, d):
     return chapters.detect_chapters(chapters.text_blocks(table(spark, d, "documents", "doc_id", "text"), ["doc_id"]), "doc_id")
 
 
-@query("chapters_enriched")
+@query("chapters_enriched", f"""WITH d AS ({SQL['chapters_detected']}), s AS (SELECT *, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM d),
+r AS (SELECT *, a + length(text) AS z, 'txt:characters-' || a || '-' || (a + length(text)) AS reference FROM s)
+SELECT doc_id, number, a AS start, z AS "end", reference, 'ch_' || left(sha256(concat_ws(':', 'txt', CAST(number AS VARCHAR), reference)), 16) AS chapter_id, CAST(CASE WHEN {_squeeze('text')} = '' THEN 0 ELSE len(string_split({_squeeze('text')}, ' ')) END AS BIGINT) AS words FROM r""")
 def chapters_enriched(spark, d):
     return chapters.enrich_chapters(chapters_detected(spark, d), "doc_id")
 
@@ -234,12 +256,18 @@ def section_kinds(spark, d):
     return _chapters(spark, d, "title", "source_reference", "section_kind").select("row_id", T.section_kind(F.concat_ws(" ", "title", "source_reference", "section_kind")).alias("kind"))
 
 
-@query("safe_filenames")
+def _slug(x: str, fallback: str) -> str:
+    slug = rf"regexp_replace(regexp_replace(regexp_replace({_key(x)}, '[^\x00-\x7f]', '', 'g'), '[^a-zA-Z0-9]+', '_', 'g'), '^[_.]+|[_.]+$', '', 'g')"
+    return f"CASE WHEN coalesce({slug}, '') = '' THEN '{fallback}' ELSE lower(left({slug}, 80)) END"
+
+
+@query("safe_filenames", f"SELECT book_id, {_slug('title', 'untitled')} AS slug FROM books")
 def safe_filenames(spark, d):
     return table(spark, d, "books").select("book_id", T.safe_filename(F.col("title")).alias("slug"))
 
 
-@query("upload_names")
+@query("upload_names", rf"""WITH b AS (SELECT book_id, regexp_extract(replace(source_path, chr(92), '/'), '([^/]*)$', 1) AS base FROM books), x AS (SELECT *, lower(regexp_extract(base, '\.([^.]*)$', 1)) AS suffix, regexp_replace(base, '\.[^.]*$', '') AS stem FROM b)
+SELECT book_id, CASE WHEN suffix IN ('txt', 'pdf', 'docx', 'epub') THEN {_slug('stem', 'document')} || '.' || suffix END AS name FROM x""")
 def upload_names(spark, d):
     return table(spark, d, "books").select("book_id", T.upload_name(F.col("source_path")).alias("name"))
 
@@ -345,18 +373,19 @@ _NAMES = f"""{_LP}, pr AS (SELECT book_id, char_id, canonical_name, coalesce(fir
 nn AS (SELECT book_id, char_id, canonical_name, {_key('canonical_name')} AS key, seen AS known_from FROM pr UNION ALL SELECT la.book_id, la.char_id, pr.canonical_name, {_key('la.name')}, greatest(coalesce(la.known_from_chapter, 1), pr.seen) FROM la JOIN pr ON la.book_id = pr.book_id AND la.char_id = pr.char_id),
 nt AS (SELECT book_id, char_id, canonical_name, key, min(known_from) AS known_from FROM nn GROUP BY ALL)"""
 _ASOF = f"lk AS (SELECT ls.row_id, min(nt.char_id) AS char_id FROM ls LEFT JOIN nt ON nt.book_id = ls.book_id AND nt.key = {_key('ls.speaker')} AND nt.known_from <= greatest(ls.chapter, 1) WHERE ls.speaker IS NOT NULL AND ls.speaker NOT IN ('Narrator', 'Unknown') GROUP BY ls.row_id)"
-_WORD = r"string_split_regex({}, '[^\p{{L}}\p{{M}}\p{{N}}_]+')"
-_MENTION = f"""tw AS (SELECT row_id, book_id, chapter, list_filter({_WORD.format(_key('text'))}, lambda x: x <> '') AS w FROM ls WHERE text IS NOT NULL),
-kn AS (SELECT book_id, char_id, known_from, list_filter({_WORD.format('key')}, lambda x: x <> '') AS g FROM nt), kg AS (SELECT book_id, char_id, known_from, len(g) AS n, array_to_string(g, ' ') AS gram FROM kn WHERE len(g) BETWEEN 1 AND 8),
-gr AS (SELECT t.row_id, t.book_id, t.chapter, z.n, unnest(generate_series(1, len(t.w) - z.n + 1)) AS i, t.w FROM tw t JOIN (SELECT DISTINCT book_id, n FROM kg) z ON z.book_id = t.book_id AND len(t.w) >= z.n),
-hi AS (SELECT DISTINCT gr.row_id, gr.book_id, kg.char_id, gr.i, gr.n FROM gr JOIN kg ON kg.book_id = gr.book_id AND kg.n = gr.n AND kg.gram = array_to_string(gr.w[gr.i:gr.i + gr.n - 1], ' ') WHERE kg.known_from <= greatest(gr.chapter, 1)),
-rc AS (SELECT *, max(i + n) OVER (PARTITION BY row_id, char_id ORDER BY i, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM hi), me AS (SELECT book_id, row_id, char_id, count(*) AS n FROM rc WHERE r IS NULL OR i >= r GROUP BY ALL)"""
+_W = r"[\p{L}\p{N}_]"
+_MENTION = f"""tx AS (SELECT row_id, book_id, greatest(chapter, 1) AS ch, {_key('text')} AS k FROM ls WHERE text IS NOT NULL),
+ca AS (SELECT DISTINCT tx.row_id, tx.book_id, nt.char_id, tx.k, nt.key FROM tx JOIN nt ON nt.book_id = tx.book_id AND nt.key <> '' AND nt.known_from <= tx.ch AND contains(tx.k, nt.key)),
+po AS (SELECT *, unnest(generate_series(1, length(k) - length(key) + 1)) AS s FROM ca),
+hi AS (SELECT DISTINCT row_id, book_id, char_id, s, s + length(key) AS e FROM po WHERE substring(k, s, length(key)) = key AND NOT (s > 1 AND regexp_matches(substring(k, s - 1, 1), '{_W}')) AND NOT regexp_matches(substring(k, s + length(key), 1), '{_W}')),
+li AS (SELECT row_id, book_id, char_id, list({{'s': s, 'e': e, 'n': CAST(0 AS BIGINT)}} ORDER BY s, e DESC) AS h FROM hi GROUP BY ALL),
+me AS (SELECT book_id, row_id, char_id, list_reduce(h, lambda a, x: CASE WHEN x.s >= a.e THEN {{'s': x.s, 'e': x.e, 'n': a.n + 1}} ELSE a END, {{'s': CAST(0 AS BIGINT), 'e': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT)}}).n AS n FROM li)"""
 _EVENTS = f"""{_LS}, {_NAMES}, {_ASOF}, {_MENTION}, ev0 AS (SELECT lk.row_id, lk.char_id, CAST(ls.type = 'dialogue' AS BIGINT) AS said, 0 AS mentioned FROM lk JOIN ls USING (row_id) WHERE lk.char_id IS NOT NULL AND ls.type IN ('dialogue', 'internal_thought') UNION ALL SELECT row_id, char_id, 0, n FROM me),
 ev AS (SELECT e.row_id, e.char_id, max(said) AS said, CAST(sum(mentioned) AS BIGINT) AS mentioned, any_value(ls.book_id) AS book_id, any_value(greatest(ls.chapter, 1)) AS chapter, any_value(ls.seg_order) AS seg_order FROM ev0 e JOIN ls USING (row_id) GROUP BY e.row_id, e.char_id)"""
 
 
-def _names(spark, d, key=T.plain_key):
-    return characters.names_over_time(_people(spark, d), table(spark, d, "aliases", "book_id", "char_id", "name", "known_from_chapter").distinct(), key)
+def _names(spark, d):
+    return characters.names_over_time(_people(spark, d), table(spark, d, "aliases", "book_id", "char_id", "name", "known_from_chapter").distinct())
 
 
 @query("alias_visibility_by_chapter", f"WITH {_NAMES} SELECT book_id, known_from, count(*) AS names FROM nt GROUP BY book_id, known_from")
@@ -366,21 +395,16 @@ def alias_visibility(spark, d):
 
 @query("alias_asof_lookup", f"WITH {_LS}, {_NAMES}, {_ASOF} SELECT * FROM lk")
 def alias_asof_lookup(spark, d):
-    return characters.alias_lookup(_segments(spark, d, "chapter", "speaker"), _names(spark, d), T.plain_key)
-
-
-@query("alias_asof_lookup_folded")
-def alias_asof_folded(spark, d):
-    return characters.alias_lookup(_segments(spark, d, "chapter", "speaker"), _names(spark, d, T.name_key))
+    return characters.alias_lookup(_segments(spark, d, "chapter", "speaker"), _names(spark, d))
 
 
 @query("mention_counts", f"WITH {_LS}, {_NAMES}, {_MENTION} SELECT * FROM me")
 def mention_counts(spark, d):
-    return characters.mentions(_segments(spark, d, "chapter", "text"), _names(spark, d), key=T.plain_key)
+    return characters.mentions(_segments(spark, d, "chapter", "text"), _names(spark, d))
 
 
 def _events(spark, d):
-    return characters.activity_events(_segments(spark, d, "chapter", "text", "type", "speaker", "seg_order"), _names(spark, d), T.plain_key)
+    return cut(characters.activity_events(_segments(spark, d, "chapter", "text", "type", "speaker", "seg_order"), cut(_names(spark, d))))
 
 
 @query("character_stats", f"""WITH {_EVENTS}, a AS (SELECT book_id, char_id, CAST(sum(said) AS BIGINT) AS dialogue_count, CAST(sum(mentioned) AS BIGINT) AS mention_count, string_agg(DISTINCT chapter, ',' ORDER BY chapter) AS chapters, min(chapter) AS first_chapter, max(chapter) AS last_chapter FROM ev GROUP BY ALL),
@@ -400,20 +424,32 @@ def character_importance(spark, d):
     return both.select("book_id", "char_id", characters.importance(zero("dialogue_count"), zero("mention_count"), zero("n"), F.coalesce("pending", F.lit(False))).alias("importance"))
 
 
-@query("active_characters", f"WITH {_EVENTS}, r AS (SELECT DISTINCT book_id, chapter, seg_order FROM ev) SELECT r.book_id, r.chapter, r.seg_order AS at, count(DISTINCT e.char_id) AS active FROM r JOIN ev e ON e.book_id = r.book_id AND e.chapter = r.chapter AND e.seg_order BETWEEN r.seg_order - 12 AND r.seg_order GROUP BY ALL")
+@query("active_characters", f"""WITH {_EVENTS}, kn AS (SELECT book_id, char_id, canonical_name AS name FROM lp WHERE canonical_name <> 'Narrator' AND NOT coalesce(pending, false)), r AS (SELECT DISTINCT book_id, chapter, seg_order FROM ev),
+lt AS (SELECT r.book_id, r.chapter, r.seg_order AS "at", kn.name, max(e.seg_order) AS last FROM r JOIN ev e ON e.book_id = r.book_id AND e.chapter = r.chapter AND e.seg_order BETWEEN r.seg_order - 12 AND r.seg_order JOIN kn ON kn.book_id = e.book_id AND kn.char_id = e.char_id GROUP BY ALL)
+SELECT book_id, chapter, "at", string_agg(name, '|' ORDER BY last DESC, name DESC) AS active FROM lt GROUP BY ALL""")
 def active_characters(spark, d):
-    return characters.active_characters(_events(spark, d))
-
-
-@query("candidate_scores_topk")
+    rows = characters.active_ranked(_events(spark, d), _people(spark, d))
+    return rows.withColumn("active", F.array_join("active", "|"))
+
+
+@query("candidate_scores_topk", f"""WITH {_SCENE}, {_NAMES}, {_ASOF}, {_MENTION}, rw AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter, scene_id ORDER BY seg_order, row_id) AS pl FROM sc),
+e0 AS (SELECT rw.book_id, chapter, scene_id, pl, seg_order, me.char_id, CAST(me.n AS DOUBLE) AS m, 0.0 AS s FROM me JOIN rw USING (row_id) UNION ALL
+ SELECT rw.book_id, chapter, scene_id, pl, seg_order, lk.char_id, 0.0, CASE WHEN type = 'dialogue' THEN 1.0 ELSE 0.0 END FROM lk JOIN rw USING (row_id) WHERE lk.char_id IS NOT NULL AND type IN ('dialogue', 'internal_thought')),
+e AS (SELECT book_id, chapter, scene_id, pl, seg_order, char_id, sum(m) AS m, max(s) AS s FROM e0 GROUP BY ALL),
+sp AS (SELECT * FROM rw WHERE type IN ('dialogue', 'internal_thought')),
+nr AS (SELECT r.row_id, r.book_id, r.chapter, e.char_id, round(CASE WHEN e.pl < r.pl THEN e.m * 4.0 / (r.pl - e.pl) + e.s * 2.0 ELSE e.m * 2.0 END, 6) AS score FROM sp r JOIN e ON e.book_id = r.book_id AND e.chapter = r.chapter AND e.scene_id = r.scene_id AND e.pl BETWEEN r.pl - 4 AND r.pl + 4 AND e.pl <> r.pl
+ UNION ALL SELECT DISTINCT r.row_id, r.book_id, r.chapter, e.char_id, 1.0 FROM sp r JOIN e ON e.book_id = r.book_id AND e.chapter = r.chapter AND e.seg_order < r.seg_order AND r.seg_order - e.seg_order <= 12),
+su AS (SELECT row_id, book_id, chapter, char_id, sum(score) AS score FROM nr GROUP BY ALL HAVING sum(score) > 0),
+ra AS (SELECT su.row_id, lp.canonical_name AS name, round(su.score, 4) AS score, row_number() OVER (PARTITION BY su.row_id ORDER BY round(su.score, 4) DESC, lp.canonical_name, su.char_id) AS rank FROM su JOIN lp ON lp.book_id = su.book_id AND lp.char_id = su.char_id WHERE NOT coalesce(lp.pending, false) AND lp.canonical_name NOT IN ('Narrator', 'Unknown') AND coalesce(lp.first_seen_chapter, 0) <= greatest(su.chapter, 1))
+SELECT row_id, CAST(rank AS INTEGER) AS rank, name, CAST(score AS DOUBLE) AS score FROM ra WHERE rank <= 6""")
 def candidate_scores_topk(spark, d):
-    return characters.candidate_scores(_segments(spark, d, *_FULL), _names(spark, d, T.name_key))
+    return characters.candidate_scores(_segments(spark, d, *_FULL), cut(_names(spark, d)), _people(spark, d))
 
 
 @query("duplicate_pairs_token", f"""WITH {_LP}, p AS (SELECT book_id, char_id, {_key('canonical_name')} AS key FROM lp WHERE canonical_name <> 'Narrator'), w AS (SELECT DISTINCT book_id, char_id, unnest(string_split(key, ' ')) AS word FROM p)
 SELECT DISTINCT p.book_id, least(p.char_id, w.char_id) AS left_id, greatest(p.char_id, w.char_id) AS right_id FROM p JOIN w ON p.book_id = w.book_id AND p.key = w.word AND p.char_id <> w.char_id""")
 def duplicate_pairs_token(spark, d):
-    return characters.duplicate_tokens(_people(spark, d), T.plain_key)
+    return characters.duplicate_tokens(_people(spark, d))
 
 
 @query("duplicate_pairs_ratio")
@@ -421,14 +457,25 @@ def duplicate_pairs_ratio(spark, d):
     return characters.duplicate_ratio(_people(spark, d))
 
 
-@query("alias_evidence", r"""
-WITH ls AS (SELECT * FROM segments QUALIFY row_number() OVER (PARTITION BY book_id, segment_id ORDER BY loaded_at DESC, row_id DESC) = 1),
-h AS (SELECT book_id, chapter, regexp_extract(text, '^(.*?),?\s+(?:también\s+)?(?:conocid[oa]\s+como|llamad[oa])\s+([A-ZÁÉÍÓÚÑ][\p{L}\p{N}_-]*(?:\s+(?:[A-ZÁÉÍÓÚÑ][\p{L}\p{N}_-]*|from|de|la|the)){0,3})', ['head', 'alias']) AS m FROM ls WHERE type = 'narration')
-SELECT h.book_id, c.char_id, m.alias AS alias, min(h.chapter) AS known_from FROM h JOIN (SELECT DISTINCT book_id, char_id, canonical_name FROM characters) c ON c.book_id = h.book_id AND m.alias <> '' AND ends_with(m.head, c.canonical_name) GROUP BY ALL""")
-def alias_evidence(spark, d):
+_HINTS = f"""hn AS (SELECT book_id, chapter, regexp_extract(text, '^(.*?){characters.ALIAS_PHRASE}', ['head', 'alias']) AS m FROM ls WHERE type = 'narration'),
+al AS (SELECT hn.book_id, c.char_id, m.alias AS alias, min(hn.chapter) AS known_from FROM hn JOIN (SELECT DISTINCT book_id, char_id, canonical_name FROM characters WHERE canonical_name <> '') c ON c.book_id = hn.book_id AND m.alias <> '' AND ends_with(m.head, c.canonical_name) GROUP BY ALL)"""
+
+
+def _evidence(spark, d):
     return characters.alias_evidence(_segments(spark, d, "type", "text", "chapter"), table(spark, d, "characters", "book_id", "char_id", "canonical_name"))
 
 
+@query("alias_evidence", f"WITH {_LS}, {_HINTS} SELECT * FROM al")
+def alias_evidence(spark, d):
+    return _evidence(spark, d)
+
+
+@query("duplicate_pairs_alias", f"""WITH {_LS}, {_HINTS}, {_NAMES}, ot AS (SELECT book_id, key, min(char_id) AS right_id FROM nt GROUP BY ALL), lf AS (SELECT DISTINCT book_id, char_id AS left_id, {_key('alias')} AS key FROM al)
+SELECT DISTINCT lf.book_id, lf.left_id, ot.right_id FROM lf JOIN ot ON ot.book_id = lf.book_id AND ot.key = lf.key AND left_id <> right_id WHERE NOT EXISTS (SELECT 1 FROM lp WHERE lp.book_id = lf.book_id AND lp.char_id = lf.left_id AND lp.canonical_name = 'Narrator')""")
+def duplicate_pairs_alias(spark, d):
+    return characters.duplicate_aliases(_evidence(spark, d), _names(spark, d), _people(spark, d))
+
+
 _FIRST = f"{_LS}, fa AS (SELECT book_id, speaker, min((seg_order, row_id)) AS f, 1 AS o FROM ls WHERE speaker IS NOT NULL AND speaker <> 'Narrator' GROUP BY ALL UNION ALL SELECT DISTINCT book_id, 'Narrator', NULL, 0 FROM ls), fp AS (SELECT book_id, speaker, CAST(row_number() OVER (PARTITION BY book_id ORDER BY o, f) - 1 AS INTEGER) AS position FROM fa)"
 
 
@@ -437,6 +484,12 @@ def collected_speakers(spark, d):
     return characters.first_appearance(_segments(spark, d, "speaker", "seg_order"))
 
 
+@query("rebuilt_profiles", f"""WITH {_FIRST}, n AS (SELECT book_id, speaker, row_number() OVER (PARTITION BY book_id ORDER BY position) AS k FROM fp WHERE speaker <> 'Unknown')
+SELECT n.book_id, printf('char_%06d', k) AS char_id, n.speaker AS canonical_name, (SELECT min(chapter) FROM ls WHERE ls.book_id = n.book_id AND ls.speaker = n.speaker AND ls.speaker NOT IN ('Narrator', 'Unknown')) AS first_seen_chapter FROM n""")
+def rebuilt_profiles(spark, d):
+    return characters.rebuild_profiles(_segments(spark, d, "speaker", "seg_order", "chapter"))
+
+
 @query("evidence_window", f"WITH {_EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY book_id, char_id ORDER BY seg_order DESC, row_id DESC) AS k FROM ev) SELECT book_id, char_id, count(*) AS rows, min(seg_order) AS from_order, max(seg_order) AS to_order FROM r WHERE k <= 8 GROUP BY ALL HAVING count(*) >= 3")
 def evidence_window(spark, d):
     return characters.evidence_window(_events(spark, d))
@@ -477,13 +530,13 @@ q AS (SELECT DISTINCT p.book_id, p.char_id AS a, w.char_id AS b FROM p JOIN w ON
 SELECT row_id FROM ls WHERE type IN ('dialogue', 'internal_thought') AND EXISTS (SELECT 1 FROM n WHERE n.book_id = ls.book_id AND n.speaker = ls.speaker)""")
 def review_duplicates(spark, d):
     people = _people(spark, d)
-    pairs = characters.duplicate_tokens(people, T.plain_key)
+    pairs = characters.duplicate_tokens(people)
     ids = pairs.select("book_id", F.explode(F.array("left_id", "right_id")).alias("char_id")).distinct()
     doubles = people.join(ids, ["book_id", "char_id"], "left_semi").select("book_id", F.col("canonical_name").alias("speaker")).distinct()
     return review.filter_issue(_segments(spark, d, "type", "speaker"), "duplicates", doubles).select("row_id")
 
 
-@query("speaker_filter")
+@query("speaker_filter", f"WITH {_LS} SELECT row_id, speaker FROM ls WHERE {_key('speaker')} = 'isabel marlosa'")
 def speaker_filter(spark, d):
     return review.filter_speaker(_segments(spark, d, "speaker", "type"), "ISABEL MARLOSA").select("row_id", "speaker")
 
@@ -532,18 +585,38 @@ def manual_overrides(spark, d):
     return edits.override_speakers(s, s.where(is_speech(F.col("type")) & (F.col("speaker") == "Unknown")).select("row_id", F.lit("Revisor").alias("speaker")))
 
 
-@query("register_names")
+@query("register_names", f"""WITH {_LS}, {_LP}, w AS (SELECT book_id, {_squeeze('speaker')} AS name, chapter, {_key('speaker')} AS key FROM ls WHERE speaker IS NOT NULL AND speaker NOT IN ('Narrator', 'Unknown')),
+f AS (SELECT book_id, key, arg_min(name, (chapter, name)) AS name, min(chapter) AS chapter FROM w WHERE key NOT IN ('', 'unknown') GROUP BY ALL), n AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM lp WHERE lp.book_id = f.book_id AND {_key('lp.canonical_name')} = f.key)),
+m AS (SELECT book_id, max(CAST(regexp_extract(char_id, '(\\d+)$', 1) AS INT)) AS last FROM lp GROUP BY book_id)
+SELECT n.book_id, printf('char_%06d', coalesce(last, 0) + row_number() OVER (PARTITION BY n.book_id ORDER BY chapter, key)) AS char_id, name AS canonical_name, chapter AS first_seen_chapter FROM n LEFT JOIN m USING (book_id)""")
 def register_names(spark, d):
     wanted = _segments(spark, d, "speaker", "chapter").where(named(F.col("speaker"))).select("book_id", F.col("speaker").alias("name"), "chapter")
     return edits.register_names(_people(spark, d), wanted)
 
 
-@query("add_aliases")
+@query("add_aliases", f"""WITH {_LP}, w AS (SELECT book_id, char_id, name, known_from_chapter, {_key('name')} AS key FROM aliases WHERE char_id IS NOT NULL), o AS (SELECT book_id, char_id, {_key('canonical_name')} AS key FROM lp UNION SELECT book_id, char_id, key FROM w)
+SELECT book_id, char_id, min(name) AS name, max(known_from_chapter) AS known_from_chapter FROM w WHERE key <> '' AND known_from_chapter >= 1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.book_id = w.book_id AND o.key = w.key AND o.char_id <> w.char_id) GROUP BY book_id, char_id, key""")
 def add_aliases(spark, d):
     a = table(spark, d, "aliases", "book_id", "char_id", "name", "known_from_chapter")
     return edits.add_aliases(a, _people(spark, d), a.where("char_id IS NOT NULL"))
 
 
+@query("remove_aliases", f"WITH a AS (SELECT DISTINCT book_id, char_id, name, known_from_chapter FROM aliases) SELECT * FROM a WHERE NOT coalesce(EXISTS (SELECT 1 FROM characters c WHERE c.book_id = a.book_id AND c.char_id = a.char_id AND {_key('c.canonical_name')} = {_key('a.name')}), false)")
+def remove_aliases(spark, d):
+    a = table(spark, d, "aliases", "book_id", "char_id", "name", "known_from_chapter").distinct()
+    return edits.remove_aliases(a, table(spark, d, "characters", "book_id", "char_id", F.col("canonical_name").alias("name")))
+
+
+@query("voice_moves", f"""WITH {_LP}, nw AS (SELECT book_id, canonical_name AS speaker, min(voice_id) FILTER (coalesce(voice_manual, false)) AS manual, min(voice_id) AS existing FROM lp GROUP BY ALL),
+rn AS (SELECT book_id, canonical_name AS old, 'Nuevo ' || canonical_name AS new FROM lp WHERE char_id = 'char_000002'), ol AS (SELECT rn.book_id, rn.new AS speaker, min(coalesce(manual, existing)) AS moved FROM rn JOIN nw ON nw.book_id = rn.book_id AND nw.speaker = rn.old GROUP BY ALL),
+bo AS (SELECT * FROM nw FULL JOIN ol USING (book_id, speaker)), un AS (SELECT * FROM bo WHERE NOT EXISTS (SELECT 1 FROM rn r WHERE r.book_id = bo.book_id AND r.old = bo.speaker)),
+al AS (SELECT book_id, speaker, coalesce(manual, existing, moved) AS v FROM un UNION ALL SELECT DISTINCT book_id, 'Unknown', NULL FROM lp WHERE NOT EXISTS (SELECT 1 FROM un WHERE un.book_id = lp.book_id AND un.speaker = 'Unknown')) SELECT book_id, speaker, coalesce(v, (SELECT max(voice_id) FROM voices)) AS voice_id FROM al""")
+def voice_moves(spark, d):
+    p = _people(spark, d)
+    renames = p.where("char_id = 'char_000002'").select("book_id", F.col("canonical_name").alias("old"), F.concat(F.lit("Nuevo "), "canonical_name").alias("new"))
+    return voices.move_voices(p, table(spark, d, "voices"), renames)
+
+
 @query("rename_alias", f"""WITH {_LP}, r AS (SELECT book_id, char_id, canonical_name, 'Nuevo ' || canonical_name AS new_name FROM lp WHERE char_id = 'char_000002')
 SELECT book_id, char_id, canonical_name AS name, coalesce((SELECT first_seen_chapter FROM lp WHERE lp.book_id = r.book_id AND lp.char_id = r.char_id), 1) AS known_from_chapter FROM r""")
 def rename_alias(spark, d):
@@ -781,7 +854,7 @@ def pdf_reflow(spark, d):
     return pages.reflow_pages(_chapters(spark, d, "text"), ["row_id"])
 
 
-@query("spaced_headings")
+@query("spaced_headings", rf"WITH {_LC} SELECT row_id, CASE WHEN regexp_matches(title, '(?i)^\s*C\s+a\s+p\s+[ií]\s+t\s+u\s+l\s+o(?:$|[^\p{{L}}\p{{N}}_])') THEN array_to_string(list_transform(string_split_regex({_strip('title')}, '\s{{2,}}'), lambda x: regexp_replace(x, '\s+', '', 'g')), ' ') ELSE title END AS title FROM lc")
 def spaced_headings(spark, d):
     return _chapters(spark, d, "title").select("row_id", T.spaced_heading(F.col("title")).alias("title"))
 
@@ -855,9 +928,9 @@ def busy_books(spark, d):
     return review.book_status(_chapters(spark, d, "status")).where("busy").select("book_id")
 
 
-@query("visible_alias_maps")
+@query("visible_alias_maps", f"WITH {_NAMES}, v AS (SELECT *, row_number() OVER (PARTITION BY book_id, char_id ORDER BY known_from, key) AS k FROM nt WHERE known_from <= 5 AND key <> {_key('canonical_name')}) SELECT book_id, char_id, CAST(count(*) AS INTEGER) AS n FROM v WHERE k <= 3 GROUP BY ALL")
 def visible_alias_maps(spark, d):
-    return remote.visible_aliases(_names(spark, d, T.name_key), 5).select("book_id", "char_id", F.size("aliases").alias("n"))
+    return remote.visible_aliases(_names(spark, d), 5).select("book_id", "char_id", F.size("aliases").alias("n"))
 
 
 @query("remote_answers", f"WITH {_LS} SELECT row_id, 'Unknown' AS speaker, 0.5 AS confidence, false AS is_new FROM ls WHERE type IN ('dialogue', 'internal_thought')")

@@ -90,11 +90,6 @@ def name_key(c: Column) -> Column:
     return F.when(plain, F.lower(s)).otherwise(_folded(F.when(~plain, s)))
 
 
-def plain_key(c: Column) -> Column:
-    """Identity key that keeps accents: blanks collapsed, lower case, one form of sigma. No Python."""
-    return F.translate(F.lower(squeeze(c)), "ς", "σ")
-
-
 def safe_filename(c: Column, fallback: str = "untitled") -> Column:
     """Portable lower-case ASCII slug of at most 80 characters."""
     ascii_only = F.regexp_replace(name_key(c), r"[^\x00-\x7f]", "")

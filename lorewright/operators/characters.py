@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lorewright.functions.text import name_key
 from lorewright.operators.context import with_scenes
-from lorewright.session import exploded
+from lorewright.session import cut, exploded, fits, small
 from lorewright.operators.tables import NARRATOR, UNKNOWN, is_speech, named
 
 
@@ -36,29 +36,50 @@ def alias_lookup(segments: DataFrame, names: DataFrame, key: Callable[[Column],
     return rows.join(found, ["book_id", "chapter", "key"], "left").select("row_id", "char_id")
 
 
-def words_of(text: Column) -> Column:
-    """Tokens of folded text between characters that are neither letter, mark, digit nor underscore."""
-    return F.filter(F.split(text, r"[^\p{L}\p{M}\p{N}_]+"), lambda x: x != "")
+_WORD, _OTHER = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+_RUNS = rf"{_WORD}+|{_OTHER}+"
+
+
+def _runs(text: Column) -> Column:
+    """A text as runs of word characters and of others, in turn."""
+    return F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0))
 
 
 def mentions(segments: DataFrame, names: DataFrame, key: Callable[[Column], Column] = name_key) -> DataFrame:
-    """book_id, row_id, char_id, n of whole-name mentions visible at the chapter.
+    """book_id, row_id, char_id, n of whole-name mentions visible at the chapter, the folded name taken literally.
 
-    Instead of comparing every text with every name, texts are exploded into word n-grams of the lengths that names
-    have in their book, however long, and joined by equality on (book, n-gram). Where names of one character overlap in a
-    text the longer one counts.
+    A text meets only the names whose first word it holds: its words are looked up by (book, first word), and what
+    follows is compared with the rest of the name. Names that fit are broadcast, so texts aren't shuffled; else only
+    the words are, without their texts. Of a character's names the longest at the leftmost place counts, without overlap.
     """
-    texts = segments.where("text IS NOT NULL").select("row_id", "book_id", "chapter", words_of(key(F.col("text"))).alias("w"))
-    keyed = names.withColumn("g", words_of(F.col("key"))).where(F.size("g") >= 1).select("book_id", "char_id", "known_from", F.size("g").alias("n"), F.array_join("g", " ").alias("gram"))
-    sizes = keyed.select("book_id", "n").distinct()
-    grams = texts.join(sizes, "book_id").where("size(w) >= n")
-    grams = exploded(grams, ["row_id", "book_id", "chapter", "n"], F.expr("transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))"), "at", "gram")
-    hits = grams.join(keyed, ["book_id", "n", "gram"]).where("known_from <= greatest(chapter, 1)").select("row_id", "book_id", "char_id", "at", "n").distinct()
-    # Leftmost, longest, without overlap: a hit inside the reach of an earlier or longer one of its character is no mention.
-    w = Window.partitionBy("row_id", "char_id").orderBy("at", F.col("n").desc())
-    reach = F.max(F.col("at") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    kept = hits.withColumn("_r", reach).where("_r IS NULL OR at >= _r")
-    return kept.groupBy("book_id", "row_id", "char_id").agg(F.count(F.lit(1)).alias("n"))
+    n = names.where("key != ''").select("book_id", "char_id", "known_from", F.col("key").alias("_name")).distinct()
+    lead = F.regexp_extract("_name", rf"^{_OTHER}*", 0)
+    n = n.withColumn("_lead", lead).withColumn("_rest", F.substr("_name", F.length("_lead") + 1)).withColumn("_word", F.regexp_extract("_rest", rf"^{_WORD}+", 0))
+    n = cut(n.withColumn("_m", F.size(_runs(F.col("_rest")))).withColumn("_closed", F.col("_rest").rlike(_WORD + "$")))
+    texts = segments.where("text IS NOT NULL").select("row_id", "book_id", F.greatest("chapter", F.lit(1)).alias("_chapter"), key(F.col("text")).alias("_text"))
+    texts = texts.withColumn("_r", _runs(F.col("_text")))
+    words = exploded(texts, ["row_id", "book_id", "_chapter", "_r"], F.col("_r"), "_at", "_word")
+    by_word = n.where("_word != ''")
+    if fits(by_word):
+        near = words.join(F.broadcast(by_word), ["book_id", "_word"])
+    else:
+        # Words that begin no name go no further than the join; those that do are few, and meet their texts again.
+        near = words.select("row_id", "book_id", "_at", "_word").join(by_word, ["book_id", "_word"]).join(texts.drop("book_id", "_text"), "row_id")
+    tail = F.array_join(F.slice("_r", F.col("_at") + 1, F.greatest("_m", F.lit(1))), "")
+    ends = F.when(F.col("_closed"), tail == F.col("_rest")).otherwise(F.startswith(tail, F.col("_rest")) & ((F.length(tail) > F.length("_rest")) | (F.col("_at") + F.col("_m") >= F.size("_r"))))
+    before = F.get("_r", F.col("_at") - 1)
+    begins = (F.col("_lead") == "") | F.coalesce(F.endswith(before, F.col("_lead")) & ((F.length(before) > F.length("_lead")) | (F.col("_at") == 1)), F.lit(False))
+    start = F.length(F.array_join(F.slice("_r", F.lit(1), F.col("_at")), "")) - F.length("_lead")
+    hits = near.where((F.col("known_from") <= F.col("_chapter")) & ends & begins).select("book_id", "row_id", "char_id", start.alias("_s"), F.length("_name").alias("_n"))
+    # Names without any word character, as "???": every place of the texts of their book that hold them.
+    odd = n.where("_word = ''").select("book_id", "char_id", "known_from", "_name")
+    held = texts.select("row_id", "book_id", "_chapter", "_text").join(small(odd), "book_id").where(F.col("_text").contains(F.col("_name")) & (F.col("known_from") <= F.col("_chapter")))
+    places = F.expr(f"filter(sequence(1, length(_text)), i -> substring(_text, i, length(_name)) = _name AND NOT (i > 1 AND substring(_text, i - 1, 1) RLIKE '{_WORD}') AND NOT substring(_text, i + length(_name), 1) RLIKE '{_WORD}')".replace("\\", "\\\\"))
+    hits = hits.unionByName(held.select("book_id", "row_id", "char_id", F.explode_outer(places).alias("_i"), F.length("_name").alias("_n")).where("_i IS NOT NULL").select("book_id", "row_id", "char_id", (F.col("_i") - 1).alias("_s"), "_n"))
+    per = hits.groupBy("book_id", "row_id", "char_id").agg(F.array_sort(F.collect_set(F.struct("_s", (-F.col("_n")).alias("_n")))).alias("_h"))
+    state = F.struct(F.lit(0).alias("e"), F.lit(0).cast("bigint").alias("c"))
+    taken = F.aggregate("_h", state, lambda a, h: F.when(h["_s"] >= a.e, F.struct((h["_s"] - h["_n"]).cast("int").alias("e"), (a.c + 1).alias("c"))).otherwise(a), lambda a: a.c)
+    return per.select("book_id", "row_id", "char_id", taken.alias("n"))
 
 
 def activity_events(segments: DataFrame, names: DataFrame, key: Callable[[Column], Column] = name_key) -> DataFrame:
@@ -84,7 +105,7 @@ def character_statistics(events: DataFrame, ring: int = 64) -> DataFrame:
 
 
 def importance(dialogues, mentions_, chapters, pending):
-    """F6."""
+    """F6. The thresholds are fixed values."""
     return (
         F.when(pending, "unknown")
         .when((dialogues >= 30) | (chapters >= 5) & (dialogues >= 10), "major")
@@ -107,21 +128,45 @@ def active_characters(events: DataFrame, window: int = 12) -> DataFrame:
     return near.groupBy("book_id", "chapter", "at").agg(F.count_distinct("char_id").alias("active"))
 
 
-def candidate_scores(segments: DataFrame, names: DataFrame, top: int = 6, key: Callable[[Column], Column] = name_key) -> DataFrame:
-    """Scored candidates of every speech row from mentions and speakers around it in the scene."""
+def active_ranked(events: DataFrame, characters: DataFrame, window: int = 12) -> DataFrame:
+    """For every row with activity, the names of the characters active within the last orders of its chapter, the
+    latest first, names of equal place in reverse order; the narrator and pending ones are left out. book_id, chapter, at, active."""
+    size = window + 1
+    known = characters.where((F.col("canonical_name") != NARRATOR) & ~F.coalesce("pending", F.lit(False))).groupBy("book_id", "char_id").agg(F.min("canonical_name").alias("name"))
+    a = events.select("book_id", "chapter", "seg_order", "char_id").distinct()
+    rows = a.select("book_id", "chapter", F.col("seg_order").alias("at")).distinct().withColumn("b", F.floor(F.col("at") / size))
+    reach = a.join(known, ["book_id", "char_id"]).withColumn("b", F.explode(F.array(F.floor(F.col("seg_order") / size), F.floor(F.col("seg_order") / size) + 1)))
+    near = rows.join(reach, ["book_id", "chapter", "b"]).where((F.col("seg_order") <= F.col("at")) & (F.col("at") - F.col("seg_order") <= window))
+    last = near.groupBy("book_id", "chapter", "at", "name").agg(F.max("seg_order").alias("last")).groupBy("book_id", "chapter", "at")
+    return last.agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("last", "name")))), lambda x: x["name"]).alias("active"))
+
+
+def candidate_scores(segments: DataFrame, names: DataFrame, characters: DataFrame, top: int = 6, key: Callable[[Column], Column] = name_key, window: int = 12) -> DataFrame:
+    """Scored candidates of every speech row: mentions before it in the scene 4 / distance each, speakers of dialogue before it 2,
+    mentions after it 2, and 1 for whoever was active within the last orders of the chapter. The narrator, pending and not yet seen people are none."""
     w = Window.partitionBy("book_id", "chapter", "scene_id").orderBy("seg_order", "row_id")
-    rows = with_scenes(segments).withColumn("at", F.row_number().over(w)).select("row_id", "book_id", "chapter", "scene_id", "at", "type")
-    said = mentions(segments, names, key=key).join(rows, ["book_id", "row_id"]).select("book_id", "chapter", "scene_id", "at", "char_id", F.col("n").cast("double").alias("mentioned"), F.lit(0.0).alias("spoke"))
-    spoke = alias_lookup(segments.where("type = 'dialogue'"), names, key).where("char_id IS NOT NULL").join(rows, "row_id").select("book_id", "chapter", "scene_id", "at", "char_id", F.lit(0.0).alias("mentioned"), F.lit(1.0).alias("spoke"))
-    evidence = said.unionByName(spoke).groupBy("book_id", "chapter", "scene_id", "at", "char_id").agg(F.sum("mentioned").alias("m"), F.max("spoke").alias("s"))
+    rows = with_scenes(segments).withColumn("at", F.row_number().over(w)).select("row_id", "book_id", "chapter", "scene_id", "at", "type", "seg_order")
+    mentioned = cut(mentions(segments, names, key=key))
+    spoken = cut(alias_lookup(segments.where(is_speech(F.col("type"))), names, key).where("char_id IS NOT NULL"))
+    said = mentioned.join(rows, ["book_id", "row_id"]).select("book_id", "chapter", "scene_id", "at", "seg_order", "char_id", F.col("n").cast("double").alias("mentioned"), F.lit(0.0).alias("spoke"))
+    spoke = spoken.join(rows, "row_id").select("book_id", "chapter", "scene_id", "at", "seg_order", "char_id", F.lit(0.0).alias("mentioned"), F.when(F.col("type") == "dialogue", 1.0).otherwise(0.0).alias("spoke"))
+    evidence = cut(said.unionByName(spoke).groupBy("book_id", "chapter", "scene_id", "at", "seg_order", "char_id").agg(F.sum("mentioned").alias("m"), F.max("spoke").alias("s")))
     # Evidence reaches four rows either way: eight copies joined by equality, not a range join.
-    reach = evidence.withColumn("d", F.explode(F.sequence(F.lit(-4), F.lit(4)))).where("d != 0").withColumn("at", F.col("at") + F.col("d"))
+    reach = evidence.drop("seg_order").withColumn("d", F.explode(F.sequence(F.lit(-4), F.lit(4)))).where("d != 0").withColumn("at", F.col("at") + F.col("d"))
     weight = F.when(F.col("d") > 0, F.col("m") * 4.0 / F.col("d") + F.col("s") * 2.0).otherwise(F.col("m") * 2.0)
     speech = rows.where(is_speech(F.col("type")))
-    scored = speech.join(reach, ["book_id", "chapter", "scene_id", "at"]).groupBy("row_id", "book_id", "char_id").agg(F.sum(F.round(weight, 6)).alias("score")).where("score > 0")
-    first = names.groupBy("book_id", "char_id").agg(F.min("canonical_name").alias("name")).where(~F.col("name").isin(NARRATOR, UNKNOWN))
+    near = speech.join(reach, ["book_id", "chapter", "scene_id", "at"]).select("row_id", "book_id", "chapter", "char_id", F.round(weight, 6).alias("score"))
+    # Activity of earlier rows of the chapter, spread over the rows it reaches by an equi-join on buckets of the window's width.
+    size = window + 1
+    bucket = F.floor(F.col("seg_order") / size)
+    acts = evidence.select("book_id", "chapter", F.col("seg_order").alias("_o"), "char_id", F.explode(F.array(bucket, bucket + 1)).alias("_b"))
+    active = speech.withColumn("_b", bucket).join(acts, ["book_id", "chapter", "_b"]).where((F.col("_o") < F.col("seg_order")) & (F.col("seg_order") - F.col("_o") <= window))
+    active = active.select("row_id", "book_id", "chapter", "char_id").distinct().withColumn("score", F.lit(1.0))
+    scored = near.unionByName(active).groupBy("row_id", "book_id", "chapter", "char_id").agg(F.sum("score").alias("score")).where("score > 0")
+    people = characters.where(~F.coalesce("pending", F.lit(False)) & ~F.col("canonical_name").isin(NARRATOR, UNKNOWN)).groupBy("book_id", "char_id").agg(F.min("canonical_name").alias("name"), F.min(F.coalesce("first_seen_chapter", F.lit(0))).alias("seen"))
     rank = F.row_number().over(Window.partitionBy("row_id").orderBy(F.round("score", 4).desc(), "name", "char_id"))
-    return scored.join(first, ["book_id", "char_id"]).withColumn("rank", rank).where(F.col("rank") <= top).select("row_id", "rank", "name", F.round("score", 4).alias("score"))
+    kept = scored.join(people, ["book_id", "char_id"]).where(F.col("seen") <= F.greatest("chapter", F.lit(1)))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= top).select("row_id", "rank", "name", F.round("score", 4).alias("score"))
 
 
 def duplicate_tokens(characters: DataFrame, key: Callable[[Column], Column] = name_key) -> DataFrame:
@@ -153,13 +198,39 @@ def duplicate_ratio(characters: DataFrame, least: float = 0.78) -> DataFrame:
     return near.withColumn("ratio", F.round(ratio("a", "b"), 6)).where(F.col("ratio") >= least).select("book_id", "left_id", "right_id", "ratio")
 
 
+#: Fixed value: what parts a name from an alias in narration, and the alias.
+ALIAS_PHRASE = r",?\s+(?:también\s+)?(?:conocid[oa]\s+como|llamad[oa])\s+([A-ZÁÉÍÓÚÑ][\p{L}\p{N}_-]*(?:\s+(?:[A-ZÁÉÍÓÚÑ][\p{L}\p{N}_-]*|from|de|la|the)){0,3})"
+
+
 def alias_evidence(segments: DataFrame, characters: DataFrame) -> DataFrame:
-    """Aliases that narration gives outright ('NAME, conocida como ALIAS'). One literal pattern finds the
-    candidates; the name before it is then matched by equality."""
-    after = r",?\s+(?:también\s+)?(?:conocid[oa]\s+como|llamad[oa])\s+([A-ZÁÉÍÓÚÑ][\p{L}\p{N}_-]*(?:\s+(?:[A-ZÁÉÍÓÚÑ][\p{L}\p{N}_-]*|from|de|la|the)){0,3})"
-    hits = segments.where((F.col("type") == "narration") & F.col("text").rlike(after)).select("book_id", "chapter", F.regexp_extract("text", "^(.*?)" + after, 1).alias("head"), F.regexp_extract("text", "^(.*?)" + after, 2).alias("alias"))
-    p = characters.select("book_id", "char_id", "canonical_name").distinct()
-    return hits.join(p, "book_id").where(F.col("head").endswith(F.col("canonical_name"))).groupBy("book_id", "char_id", "alias").agg(F.min("chapter").alias("known_from"))
+    """Aliases that narration gives outright ('NAME, conocida como ALIAS'): book_id, char_id, alias, known_from.
+
+    One literal pattern finds the candidates. A name ends where the phrase begins, so the head's endings, as long as names
+    of that book can be, are looked up by equality.
+    """
+    found = F.regexp_extract("text", "^(.*?)" + ALIAS_PHRASE, 1)
+    hits = segments.where((F.col("type") == "narration") & F.col("text").rlike(ALIAS_PHRASE)).select("book_id", "chapter", found.alias("head"), F.regexp_extract("text", "^(.*?)" + ALIAS_PHRASE, 2).alias("alias")).where("alias != ''")
+    people = characters.where("canonical_name IS NOT NULL AND canonical_name != ''").select("book_id", "char_id", F.col("canonical_name").alias("name")).distinct()
+    sizes = people.select("book_id", F.length("name").alias("size")).distinct()
+    ended = hits.join(sizes, "book_id").where(F.length("head") >= F.col("size")).withColumn("name", F.expr("right(head, size)"))
+    return ended.join(people, ["book_id", "name"]).groupBy("book_id", "char_id", "alias").agg(F.min("chapter").alias("known_from"))
+
+
+def duplicate_aliases(evidence: DataFrame, names: DataFrame, characters: DataFrame, key: Callable[[Column], Column] = name_key) -> DataFrame:
+    """E8, alias part: a character whose alias by evidence is another one's name: book_id, left_id, right_id, in the direction of the evidence."""
+    other = names.groupBy("book_id", "key").agg(F.min("char_id").alias("right_id"))
+    left = evidence.select("book_id", F.col("char_id").alias("left_id"), key(F.col("alias")).alias("key")).distinct()
+    narrator = characters.where(F.col("canonical_name") == NARRATOR).select("book_id", F.col("char_id").alias("left_id")).distinct()
+    return left.join(other, ["book_id", "key"]).where("left_id != right_id").join(narrator, ["book_id", "left_id"], "left_anti").select("book_id", "left_id", "right_id").distinct()
+
+
+def rebuild_profiles(segments: DataFrame) -> DataFrame:
+    """Profiles of all named speakers in the order of first appearance: book_id, char_id, canonical_name, first_seen_chapter."""
+    first = segments.where(named(F.col("speaker"))).groupBy("book_id", "speaker").agg(F.min("chapter").alias("first_seen_chapter"))
+    place = first_appearance(segments).where(F.col("speaker") != UNKNOWN)
+    number = F.row_number().over(Window.partitionBy("book_id").orderBy("position"))
+    rows = place.withColumn("_n", number).join(first, ["book_id", "speaker"], "left")
+    return rows.select("book_id", F.format_string("char_%06d", "_n").alias("char_id"), F.col("speaker").alias("canonical_name"), "first_seen_chapter")
 
 
 def first_appearance(segments: DataFrame) -> DataFrame:

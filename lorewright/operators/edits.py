@@ -31,6 +31,12 @@ def add_aliases(aliases: DataFrame, characters: DataFrame, wanted: DataFrame) ->
     return ok.join(refused, ["book_id", "char_id", "key"], "left_anti").groupBy("book_id", "char_id", "key").agg(F.min("name").alias("name"), F.max("known_from_chapter").alias("known_from_chapter")).drop("key")
 
 
+def remove_aliases(aliases: DataFrame, unwanted: DataFrame) -> DataFrame:
+    """M2: aliases less the unwanted ones (book_id, char_id, name), compared by name key."""
+    gone = unwanted.select("book_id", "char_id", name_key(F.col("name")).alias("_key")).distinct()
+    return aliases.withColumn("_key", name_key(F.col("name"))).join(gone, ["book_id", "char_id", "_key"], "left_anti").drop("_key")
+
+
 def rename(characters: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M3: (profiles with new names, old names as new aliases). renames: book_id, char_id, new_name; blank ones do nothing."""
     wanted = renames.select("book_id", "char_id", squeeze(F.col("new_name")).alias("new_name")).where("new_name != ''")

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lorewright.functions.text import name_key, plain_key
+from lorewright.functions.text import name_key
 from lorewright.operators import characters as C
 from lorewright.operators import edits, incremental, review, voices
 from lorewright.plans import fold
@@ -31,7 +31,7 @@ def test_mentions_match_a_plain_model(spark):
     random.seed(2)
     people = ["Ana", "Ana Luz", "Luz", "El Gran Sol"]
     p = cast(spark, *((n, 1, None, False) for n in people))
-    texts = [" ".join(random.choice(["Ana", "Luz", "el", "gran", "Sol", "anaconda", "ANA,"]) for _ in range(12)) for _ in range(40)]
+    texts = [" ".join(random.choice(["Ana", "Luz", "el", "gran", "Sol", "anaconda", "ANA"]) for _ in range(12)) for _ in range(40)]
     s = rows(spark, [(1, "narration", t, "Narrator", False) for t in texts] + [(1, "narration", None, "Narrator", False), (1, "narration", "", "Narrator", False)])
     got = {(r["row_id"], r["char_id"]): r["n"] for r in C.mentions(s, C.names_over_time(p, aliases(spark, ("char_000001", "ana luz", 1)))).collect()}
     wanted = {}
@@ -53,7 +53,7 @@ def test_mentions_of_long_names(spark):
     title, split = "La Muy Noble y Leal Guardia del Puerto de Marlosa", "Gi\ufeffd\u00ade\u200con S\u2060o\u2060lbr\u200bi\u2060r\u2060el"
     p = cast(spark, (title, 1, None, False), (split, 1, None, False), ("Ana", 1, None, False))
     s = rows(spark, [(1, "narration", f"Llegó {title}; {title.upper()}.", "Narrator", False), (1, "narration", f"Ana vio a {split}.", "Narrator", False), (1, "narration", "La Muy Noble y Leal Guardia", "Narrator", False)])
-    got = {(r["row_id"], r["char_id"]): r["n"] for r in C.mentions(s, C.names_over_time(p, aliases(spark), plain_key), key=plain_key).collect()}
+    got = {(r["row_id"], r["char_id"]): r["n"] for r in C.mentions(s, C.names_over_time(p, aliases(spark))).collect()}
     assert got == {(1, "char_000001"): 2, (2, "char_000002"): 1, (2, "char_000003"): 1}
 
 
@@ -142,3 +142,44 @@ def test_review_pages_and_voices(spark):
     v = spark.createDataFrame([("a",), ("b",)], "voice_id string")
     turn = rows(spark, [(1, "dialogue", "x", "María", False), (1, "narration", "x", "Narrator", False), (1, "dialogue", "x", "Pedro", False)])
     assert {(r["speaker"], r["voice_id"]) for r in voices.round_robin(turn, v).collect()} == {("Narrator", "a"), ("María", "b"), ("Pedro", "a")}
+
+
+def test_mentions_equal_a_regular_expression(spark, monkeypatch):
+    """The literal name between characters that belong to no word, the longest first, at the leftmost place, without overlap."""
+    import re
+
+    rng = random.Random(8)
+    people = {"char_000001": ["Jean-Paul", "Jean"], "char_000002": ["Jean Paul", "Paul"], "char_000003": ["Álvaro", "Don Álvaro Ruiz", "álvaro ruiz"], "char_000004": ["???", "El ???"], "char_000005": ["(la Dama", "Dama Jr."], "char_000006": ["A.", "a a", "a a a"], "char_000007": ["गौरी"]}
+    p = cast(spark, *((n[0], 1, None, False) for n in people.values()))
+    a = aliases(spark, *((c, n, 1) for c, own in people.items() for n in own[1:]))
+    bits = ["Jean", "-", " ", "Paul", "Álvaro", "ALVARO", "Ruiz", "don", "???", "?", "El", "(", "la", "Dama", "Jr.", "Jr", "A.", "a", "b", "गौरी", "गौ", ",", "_"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(14)) for _ in range(150)]
+    s = rows(spark, [(1, "narration", t, "Narrator", False) for t in texts])
+    wanted = {}
+    for i, t in enumerate(texts, 1):
+        for c, own in people.items():
+            pattern = "|".join(map(re.escape, sorted({fold.key_of(n) for n in own}, key=len, reverse=True)))
+            if n := len(re.findall(rf"(?<!\w)(?:{pattern})(?!\w)", fold.key_of(t))):
+                wanted[(i, c)] = n
+    names = C.names_over_time(p, a)
+    assert {(r["row_id"], r["char_id"]): r["n"] for r in C.mentions(s, names).collect()} == wanted and len(wanted) > 200
+    monkeypatch.setattr(C, "fits", lambda *x, **k: False)
+    assert {(r["row_id"], r["char_id"]): r["n"] for r in C.mentions(s, names).collect()} == wanted
+
+
+def test_evidence_of_aliases_and_rebuilt_profiles(spark):
+    p = cast(spark, ("Narrator", None, None, False), ("Ana", 1, None, False), ("Mariana", 1, None, False), ("La Dama", 1, None, False))
+    s = rows(spark, [(2, "narration", "Vino Mariana, también conocida como La Dama Gris.", "Narrator", False), (1, "narration", "Ana, llamada La Dama, calló.", "Narrator", False), (1, "dialogue", "Ana, llamada Eva.", "Ana", False), (1, "dialogue", "x", "Zoe", False), (3, "dialogue", "x", "Unknown", False)])
+    found = C.alias_evidence(s, p)
+    # A name that ends another one is evidence too, as it is where names are searched in the text.
+    assert {(r["char_id"], r["alias"], r["known_from"]) for r in found.collect()} == {("char_000002", "La Dama", 1), ("char_000003", "La Dama Gris", 2)}
+    assert [tuple(r)[1:] for r in C.duplicate_aliases(found, C.names_over_time(p, aliases(spark)), p).collect()] == [("char_000002", "char_000004")]
+    assert [(r["char_id"], r["canonical_name"], r["first_seen_chapter"]) for r in C.rebuild_profiles(s).orderBy("char_id").collect()] == [("char_000001", "Narrator", None), ("char_000002", "Ana", 1), ("char_000003", "Zoe", 1)]
+
+
+def test_candidates_are_active_known_and_not_pending(spark):
+    p = cast(spark, ("Narrator", None, None, False), ("Ana", 1, None, False), ("Luis", 1, None, False), ("Eva", 3, None, False), ("Zoe", 1, None, False)).withColumn("pending", F.col("canonical_name") == "Zoe")
+    s = rows(spark, [(1, "narration", "Ana y Zoe y Eva entran.", "Narrator", False), (1, "narration", "Silencio.", "Narrator", True), (1, "dialogue", "Hola", "Luis", False), (1, "dialogue", "Sí", "Unknown", False), (1, "narration", "Ana.", "Narrator", False)])
+    got = {(r["row_id"], r["name"]): r["score"] for r in C.candidate_scores(s, C.names_over_time(p, aliases(spark)), p).collect()}
+    # Ana is mentioned after, and was active before, though in another scene; Luis spoke before and is active.
+    assert got == {(3, "Ana"): 3.0, (4, "Ana"): 3.0, (4, "Luis"): 3.0}
