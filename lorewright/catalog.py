@@ -16,7 +16,7 @@ from lorewright.functions import text as T
 from lorewright.operators import audio, chapters, characters, chunks, context, edits, incremental, pages, review, segmenter, voices
 from lorewright.operators.tables import is_speech, latest, named
 from lorewright.plans import fold, project, remote
-from lorewright.session import cut, exploded, table
+from lorewright.session import cut, exploded, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -168,7 +168,7 @@ def _normal(x: str) -> str:
 
 @query("normalize_documents", f"SELECT doc_id, {_normal('text')} AS text FROM documents")
 def normalize_documents(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
+    return spread(table(spark, d, "documents", "doc_id", "text")).select("doc_id", T.normalize_text(F.col("text")).alias("text"))
 
 
 def _heading_sql(x: str) -> str:
@@ -200,7 +200,7 @@ p AS (SELECT doc_id, grp, first(block ORDER BY pos) AS head, string_agg(block, c
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grp) AS number, max(grp) OVER (PARTITION BY doc_id) AS last FROM p)
 SELECT doc_id, CAST(number AS INTEGER) AS number, CASE WHEN grp > 0 THEN head WHEN last = 0 THEN 'Full document' ELSE 'Introduction' END AS title, {_normal('body')} AS text FROM n""")
 def chapters_detected(spark, d):
-    return chapters.detect_chapters(chapters.text_blocks(table(spark, d, "documents", "doc_id", "text"), ["doc_id"]), "doc_id")
+    return chapters.split_chapters(table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
 
 
 @query("chapters_enriched", f"""WITH d AS ({SQL['chapters_detected']}), s AS (SELECT *, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM d),

@@ -64,15 +64,35 @@ NUMBERED_HEADING = r"^\d+\s*(?:\.|[-–—:])\s+\S.+$"
 SPECIAL_HEADING = r"^(?:pr[oó]logo|ep[ií]logo)$"
 
 
+def _is_contents(line: Column) -> Column:
+    return line.rlike(r"\.{3,}\s*\d*\s*$")
+
+
+def _unmarked(line: Column) -> Column:
+    return strip(F.regexp_replace(line, r"^#{1,6}\s*", ""))
+
+
+def _unbracketed(bare: Column) -> Column:
+    return F.when(bare.rlike(r"^\[.*\]$"), strip(F.regexp_replace(bare, r"^\[|\]$", ""))).otherwise(bare)
+
+
+def _reads_as_heading(bare: Column) -> Column:
+    capitals = (F.length(bare) <= 80) & (bare == F.upper(bare)) & (F.length(F.regexp_replace(bare, r"[^\p{L}]", "")) >= 2) & (word_count(bare) <= 10) & ~bare.rlike("^[—-]") & ~bare.rlike("[.!?;,]$")
+    return capitals | bare.rlike("(?iu)" + CHAPTER_HEADING) | bare.rlike(NUMBERED_HEADING) | bare.rlike("(?iu)" + SPECIAL_HEADING)
+
+
 def is_chapter_heading(c: Column) -> Column:
     """Chapter word and number, numbered title, prologue or epilogue, or a short line in capitals; never a contents entry."""
     line = squeeze(c)
-    contents = line.rlike(r"\.{3,}\s*\d*\s*$")
-    bare = strip(F.regexp_replace(line, r"^#{1,6}\s*", ""))
-    bare = F.when(bare.rlike(r"^\[.*\]$"), strip(F.regexp_replace(bare, r"^\[|\]$", ""))).otherwise(bare)
-    letters = F.length(F.regexp_replace(bare, r"[^\p{L}]", ""))
-    capitals = (letters >= 2) & (F.length(bare) <= 80) & (word_count(bare) <= 10) & (bare == F.upper(bare)) & ~bare.rlike("^[—-]") & ~bare.rlike("[.!?;,]$")
-    return ~contents & (bare.rlike("(?iu)" + CHAPTER_HEADING) | bare.rlike(NUMBERED_HEADING) | bare.rlike("(?iu)" + SPECIAL_HEADING) | capitals)
+    return ~_is_contents(line) & _reads_as_heading(_unbracketed(_unmarked(line)))
+
+
+def with_headings(lines: Column) -> Column:
+    """C5 over an array of lines: structs of the line x and whether it is a heading h. Step by step, since what a lambda uses twice it computes twice."""
+    steps = F.transform(lines, lambda x: F.struct(x.alias("x"), squeeze(x).alias("q")))
+    steps = F.transform(steps, lambda y: F.struct(y.x.alias("x"), _is_contents(y.q).alias("c"), _unmarked(y.q).alias("q")))
+    steps = F.transform(steps, lambda y: F.struct(y.x.alias("x"), y.c.alias("c"), _unbracketed(y.q).alias("q")))
+    return F.transform(steps, lambda y: F.struct(y.x.alias("x"), (~y.c & _reads_as_heading(y.q)).alias("h")))
 
 
 @F.pandas_udf(StringType())

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewright.functions.text import chapter_id, is_chapter_heading, normalize_text, split_lines, strip, word_count
-from lorewright.session import exploded
+from lorewright.functions.text import chapter_id, is_chapter_heading, normalize_text, split_lines, strip, with_headings, word_count
+from lorewright.session import exploded, once, spread
 
 
 def text_blocks(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -15,8 +15,29 @@ def text_blocks(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     return exploded(df, keys, blocks, "pos", "block")
 
 
+def split_chapters(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """C4 for books of one text each: keys, number, title, text of every chapter.
+
+    A book is one row and stays one: its lines are an array, headings are places in it, chapters are slices between them.
+    Nothing is shuffled. Headings are recognised as in C5; without one the book is one chapter, text before the first is the introduction.
+    """
+    lines = F.filter(F.transform(split_lines(F.col(text)), strip), lambda x: x != "")
+    rows = once(spread(df.select(*keys, text)), keys, lines, "_x")
+    rows = once(rows, keys, with_headings(F.col("_x")), "_l").where(F.size("_l") > 0)
+    heads = F.filter(F.transform("_l", lambda x, i: F.when(x.h, i + 1)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_s", heads)
+    starts = F.when(F.get("_l", F.lit(0)).h, F.col("_s")).otherwise(F.concat(F.array(F.lit(1)), "_s"))
+    rows = rows.select(*keys, "_l", (F.size("_s") > 0).alias("_any"), starts.alias("_s"))
+    first = lambda at: F.get("_l", at - 1)
+    title = lambda at: F.when(first(at).h, first(at).x).when(F.col("_any"), F.lit("Introduction")).otherwise(F.lit("Full document"))
+    own = lambda at, k: F.slice("_l", at, F.coalesce(F.get("_s", k + 1), F.size("_l") + 1) - at)
+    parts = F.transform("_s", lambda at, k: F.struct(title(at).alias("title"), F.array_join(F.transform(own(at, k), lambda x: x.x), "\n\n").alias("text")))
+    out = exploded(rows, keys, parts, "number", "p").select(*keys, (F.col("number") + 1).alias("number"), "p.title", "p.text")
+    return out.withColumn("text", normalize_text(F.col("text")))
+
+
 def detect_chapters(blocks: DataFrame, key: str, heading_level: str | None = None) -> DataFrame:
-    """Key, number, title, text of every chapter of a book given as ordered blocks.
+    """Key, number, title, text of every chapter of a book given as ordered blocks, whose rows stand apart; see ``split_chapters``.
 
     Headings are recognised as in C5 or by a heading level. Without one the book is one
     chapter; text before the first is the introduction.

@@ -90,6 +90,14 @@ def exploded(df: DataFrame, keys: list, array, pos: str, item: str) -> DataFrame
     return df.select(*keys, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
 
 
+def once(df: DataFrame, keys: list, value, name: str) -> DataFrame:
+    """keys and a costly value that later steps use more than once.
+
+    Spark may copy an expression into each of its uses; nothing is copied through a generator, here of one element.
+    """
+    return df.select(*keys, F.explode(F.array(value)).alias(name))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """For work that is heavy per row: on a master within one process, whose input is often one file of one row group, a partition per core.
 

@@ -25,3 +25,27 @@ def test_query_equals_sql(spark, small_tables, name):
     wanted = sorted((tuple(r[names.index(c)] for c in cols) for r in rel.fetchall()), key=repr)
     clean = lambda rows: [tuple(round(float(v), 6) if not isinstance(v, (str, bool, int, type(None))) else v for v in r) for r in rows]
     assert sorted(names) == cols and clean(got) == clean(wanted)
+
+
+def test_only_the_subpackage_itself_may_be_absent(monkeypatch):
+    import builtins
+    import importlib
+    import sys
+
+    real = builtins.__import__
+
+    def absent(module):
+        def run(name, globals=None, locals=None, fromlist=(), level=0):
+            if name == "lorewright.llm":
+                raise ModuleNotFoundError(f"No module named '{module}'", name=module)
+            return real(name, globals, locals, fromlist, level)
+
+        return run
+
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
+    monkeypatch.setattr(builtins, "__import__", absent("lorewright.llm"))
+    assert not any(re.match(r"p\d_", n) for n in importlib.import_module("__spark_entry__").queries())
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
+    monkeypatch.setattr(builtins, "__import__", absent("regex"))
+    with pytest.raises(ModuleNotFoundError):
+        importlib.import_module("__spark_entry__")

@@ -42,6 +42,16 @@ def test_chapters(spark):
     assert got[2][3] == "Capítulo 1\n\ndos\n\ntres" and got[3][3] == "Capítulo II"
 
 
+def test_chapters_within_a_row_equal_those_of_blocks(spark):
+    rng = random.Random(6)
+    lines = ["Capítulo 1", "Prólogo", "uno dos", "3. Título", "  ", "GRITO ALTO", "[EPÍLOGO]", "Índice ..... 4", "## Parte II", "chapter ten: x", "a\u0301rbol"]
+    df = spark.createDataFrame([(i, i % 7, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 9)))) for i in range(60)] + [(99, 0, None), (98, 0, " \n ")], "b int, number int, text string")
+    wanted = {tuple(r) for r in chapters.detect_chapters(chapters.text_blocks(df, ["b"]), "b").collect()}
+    plan = chapters.split_chapters(df.drop("number").where("b < 1000"), ["b"])
+    assert {tuple(r) for r in plan.collect()} == wanted and len(wanted) > 100
+    assert chapters.split_chapters(df.drop("number").where("false"), ["b"]).count() == 0
+
+
 def test_ranges():
     assert chapters.parse_range("1-10,25", 30) == [(1, 10), (25, 25)]
     for bad in ("", "0", "5-3", "1-99", "a", "1-2-3"):
