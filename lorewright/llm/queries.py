@@ -1,15 +1,8 @@
 """All queries and SQL of the subpackage."""
 
-from importlib import import_module
+from lorewright.llm import p1_names, p2_split, p3_boilerplate, p4_lookalikes, p5_sentences, p6_tokens, p7_leaks, p8_mojibake
 
-MODULES = ["p1_names", "p2_split", "p3_boilerplate", "p4_lookalikes", "p5_sentences", "p6_tokens", "p7_leaks", "p8_mojibake"]
 QUERIES, SQL = {}, {}
-for _name in MODULES:
-    try:
-        _module = import_module(f"lorewright.llm.{_name}")
-    except ModuleNotFoundError as e:
-        if e.name != f"lorewright.llm.{_name}":
-            raise
-        continue
+for _module in (p1_names, p2_split, p3_boilerplate, p4_lookalikes, p5_sentences, p6_tokens, p7_leaks, p8_mojibake):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
