@@ -451,7 +451,8 @@ def _part_keys(p: dict, names: Names) -> Iterator[tuple]:
                     yield k
 
 
-def _whole_keys(q: dict, names: Names) -> Iterator[tuple]:
+def _whole_keys(q: dict, names: Names, pairs: bool = True) -> Iterator[tuple]:
+    """pairs: with those that only incomplete spellings of two words ask for."""
     if q["cjk"]:
         for f in q["forms"]:
             for k in range(1, len(f)):
@@ -468,7 +469,7 @@ def _whole_keys(q: dict, names: Names) -> Iterator[tuple]:
         yield ("g", t)
         for short in names.nicknames.get(t, ()):
             yield ("n", short)
-    for slot in q["slots"][1:2]:
+    for slot in q["slots"][1:2] if pairs else ():
         for t in slot:
             for k in _slip_keys(t):
                 yield k
@@ -525,7 +526,7 @@ def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[i
     pairs = {(x, y) for block in near.values() for x, y in combinations(block, 2)}
     pairs = sorted((x, y) for x, y in pairs if names.misspelt(parsed[x]["tokens"][0], parsed[y]["tokens"][0]))
     long = Blocks()
-    for j in whole:
+    for j in whole if words else ():
         if not parsed[j]["cjk"] and len(parsed[j]["tokens"]) > 1:
             long.add(j, (k for t in parsed[j]["tokens"] for k in _slip_keys(t)))
     slipped = {i: [j for j in long.near(_slip_keys(parsed[i]["tokens"][0])) if misspelt_part(parsed[i], parsed[j], names)] for i in words}
@@ -534,6 +535,8 @@ def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[i
         same[parsed[i]["tokens"]].append(i)
     united: dict[tuple, list[dict]] = {}
     tried: set[tuple[int, int]] = set()
+    keyed: dict[int, frozenset] = {}  # of profiles that ``united`` keeps
+    pairs_of_words = any(not parsed[i]["cjk"] and len(parsed[i]["tokens"]) > 1 for i in part)
     changed = True
     while changed:
         changed = False
@@ -573,7 +576,9 @@ def resolve(names_in: list[str], chars: list[list[str]], names: Names) -> list[i
         free = set()
         around = Blocks()
         for n, (_, q) in enumerate(profiles):
-            around.add(n, _whole_keys(q, names))
+            if id(q) not in keyed:
+                keyed[id(q)] = frozenset(_whole_keys(q, names, pairs_of_words))
+            around.add(n, keyed[id(q)])
         for i in part:
             near_by = [profiles[n] for n in around.near(_part_keys(parsed[i], names))]
             fits = {find(j) for j, q in near_by if partial_match(parsed[i], q, names, False)} or {find(j) for j, q in near_by if partial_match(parsed[i], q, names, True)}
