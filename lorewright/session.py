@@ -98,6 +98,11 @@ def once(df: DataFrame, keys: list, value, name: str) -> DataFrame:
     return df.select(*keys, F.explode(F.array(value)).alias(name))
 
 
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffled by keys for groups that are heavy on the processor but light in bytes: all shuffle partitions are kept, where Spark would join the small ones."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """For work that is heavy per row: on a master within one process, whose input is often one file of one row group, a partition per core.
 
