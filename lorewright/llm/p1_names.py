@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewright.llm.p4_lookalikes import _TWIN, LOOKALIKES, look_key
-from lorewright.session import cut, join_hot, table
+from lorewright.session import apart, cut, join_hot, table
 
 # Titles before a name, by language; words that mark a family member; particles and articles.
 TITLES = """mr mrs ms miss mister madam dr doctor prof professor captain capt sergeant sgt lieutenant lt colonel col major general sir lady lord dame brother sister father mother saint st inspector judge master mistress
@@ -658,14 +658,14 @@ def resolve_names(characters: DataFrame, aliases: DataFrame, segments: DataFrame
     base = spellings(characters, aliases, segments)
     rows = cut(base.mapInPandas(_token_lists, f"book_id {kind}, name string, chars array<string>, tokens array<string>, nick array<string>"))
     spread = rows.select("book_id", F.explode("tokens").alias("token")).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("books"))
-    learnt = rows.groupBy("book_id").applyInPandas(_learn, f"book_id {kind}, token string, given string")
+    learnt = apart(rows, "book_id").groupBy("book_id").applyInPandas(_learn, f"book_id {kind}, token string, given string")
     learnt = learnt.groupBy("token", "given").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").groupBy("token").agg(F.collect_set("given").alias("givens"))
     # The token statistics go to each name by way of a join that holds hot tokens apart, never as one table to all tasks.
     known = cut(spread.join(learnt, "token", "left").withColumn("_w", F.col("books")))
     stats = join_hot(rows.select("book_id", "name", F.explode("tokens").alias("token")), known, ["token"], "_w")
     stats = stats.groupBy("book_id", "name").agg(F.collect_list(F.struct("token", "books", "givens")).alias("stats"))
     ready = rows.select("book_id", "name", "chars").join(stats, ["book_id", "name"], "left").withColumn("stats", F.coalesce("stats", F.array().cast("array<struct<token:string,books:bigint,givens:array<string>>>")))
-    return cut(ready.groupBy("book_id").applyInPandas(_resolve_book, f"book_id {kind}, name string, chars array<string>, entity int"))
+    return cut(apart(ready, "book_id").groupBy("book_id").applyInPandas(_resolve_book, f"book_id {kind}, name string, chars array<string>, entity int"))
 
 
 def variant_pairs(resolved: DataFrame) -> DataFrame:
