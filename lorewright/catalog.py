@@ -361,11 +361,6 @@ def llm_response_validation(spark, d):
     return answers.select("row_id", context.validated_response(F.col("j")).alias("r")).where("r IS NOT NULL").select("row_id", "r.speaker", "r.confidence")
 
 
-@query("prompts_rendered")
-def prompts_rendered(spark, d):
-    return context.render_prompt(_segments(spark, d, *_FULL)).select("row_id", F.sha2("prompt", 256).alias("prompt_hash"), F.length("prompt").alias("n_chars"))
-
-
 # ---- characters: E1, E2, E8, F5, F6, F13, G5, G12, H3, L3, L13 -------------------------------------------------
 
 
@@ -443,9 +438,44 @@ su AS (SELECT row_id, book_id, chapter, char_id, sum(score) AS score FROM nr GRO
 ra AS (SELECT su.row_id, lp.canonical_name AS name, round(su.score, 4) AS score, row_number() OVER (PARTITION BY su.row_id ORDER BY round(su.score, 4) DESC, lp.canonical_name, su.char_id) AS rank FROM su JOIN lp ON lp.book_id = su.book_id AND lp.char_id = su.char_id WHERE NOT coalesce(lp.pending, false) AND lp.canonical_name NOT IN ('Narrator', 'Unknown') AND coalesce(lp.first_seen_chapter, 0) <= greatest(su.chapter, 1))
 SELECT row_id, CAST(rank AS INTEGER) AS rank, name, CAST(score AS DOUBLE) AS score FROM ra WHERE rank <= 6""")
 def candidate_scores_topk(spark, d):
+    return _candidates(spark, d).select("row_id", "rank", "name", "score")
+
+
+def _candidates(spark, d):
     return characters.candidate_scores(_segments(spark, d, *_FULL), cut(_names(spark, d)), _people(spark, d))
 
 
+_IDENTITY = SQL["candidate_scores_topk"].rsplit("\nSELECT", 1)[0].replace("SELECT su.row_id, lp.canonical_name AS name,", "SELECT su.row_id, su.book_id, su.chapter, su.char_id, lp.canonical_name AS name,") + f""",
+ck AS (SELECT ra.row_id, ra.rank, ra.name, ra.char_id, nt.key, nt.known_from, nt.key <> {_key('nt.canonical_name')} AS al FROM ra JOIN nt ON nt.book_id = ra.book_id AND nt.char_id = ra.char_id AND nt.known_from <= greatest(ra.chapter, 1) WHERE ra.rank <= 6),
+cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, char_id, al ORDER BY known_from, key) AS k FROM ck) WHERE NOT al OR k <= 3)"""
+
+
+@query("candidate_aliases", _IDENTITY + " SELECT row_id, string_agg(key || '=' || name || '@' || known_from, '|' ORDER BY rank, known_from, key) AS aliases FROM cl WHERE al GROUP BY row_id")
+def candidate_aliases(spark, d):
+    rows = characters.candidate_identities(cut(_candidates(spark, d)), _names(spark, d)).where(F.size("aliases") > 0)
+    return rows.select("row_id", F.array_join(F.transform("aliases", lambda x: F.concat(x["alias"], F.lit("="), x["name"], F.lit("@"), x.chapter.cast("string"))), "|").alias("aliases"))
+
+
+@query("answers_accepted", _IDENTITY + f""", id AS (SELECT row_id, key, arg_min(name, (NOT al, rank)) AS name FROM cl GROUP BY row_id, key),
+wi AS (SELECT *, coalesce(array_to_string(list(coalesce(text, '')) OVER (PARTITION BY book_id, chapter, scene_id ORDER BY seg_order, row_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), ' '), '') AS w FROM sc),
+an AS (SELECT row_id, trim(speaker) AS s, new_character_candidate IS NOT NULL AS nw, w FROM wi WHERE type IN ('dialogue', 'internal_thought') AND trim(speaker) <> '' AND length(trim(speaker)) <= 100 AND confidence BETWEEN 0 AND 1),
+aj AS (SELECT an.*, coalesce((SELECT id.name FROM id WHERE id.row_id = an.row_id AND id.key = {_key('an.s')}), s) AS c FROM an)
+SELECT row_id, CASE WHEN nw THEN s ELSE c END AS accepted FROM aj WHERE (nw AND NOT EXISTS (SELECT 1 FROM ra WHERE ra.row_id = aj.row_id AND ra.rank <= 6 AND ra.name = s) AND contains({_key('w')}, {_key('s')}))
+ OR (NOT nw AND (c = 'Unknown' OR EXISTS (SELECT 1 FROM ra WHERE ra.row_id = aj.row_id AND ra.rank <= 6 AND ra.name = c)))""")
+def answers_accepted(spark, d):
+    """Answers as delivered, as JSON, through validation and the test against candidates and text."""
+    s = _segments(spark, d, *_FULL)
+    raw = s.where(is_speech(F.col("type"))).select("row_id", F.to_json(F.struct("speaker", "confidence", F.col("new_character_candidate").isNotNull().alias("is_new_character"))).alias("j"))
+    valid = raw.select("row_id", context.validated_response(F.col("j")).alias("answer")).where("answer IS NOT NULL")
+    return context.accepted_answers(valid, s, characters.candidate_identities(cut(_candidates(spark, d)), _names(spark, d)), T.name_key)
+
+
+@query("prompts_rendered")
+def prompts_rendered(spark, d):
+    known = characters.candidate_identities(cut(_candidates(spark, d)), _names(spark, d))
+    return context.render_prompt(_segments(spark, d, *_FULL), known).select("row_id", F.sha2("prompt", 256).alias("prompt_hash"), F.length("prompt").alias("n_chars"))
+
+
 @query("duplicate_pairs_token", f"""WITH {_LP}, p AS (SELECT book_id, char_id, {_key('canonical_name')} AS key FROM lp WHERE canonical_name <> 'Narrator'), w AS (SELECT DISTINCT book_id, char_id, unnest(string_split(key, ' ')) AS word FROM p)
 SELECT DISTINCT p.book_id, least(p.char_id, w.char_id) AS left_id, greatest(p.char_id, w.char_id) AS right_id FROM p JOIN w ON p.book_id = w.book_id AND p.key = w.word AND p.char_id <> w.char_id""")
 def duplicate_pairs_token(spark, d):

@@ -166,7 +166,25 @@ def candidate_scores(segments: DataFrame, names: DataFrame, characters: DataFram
     people = characters.where(~F.coalesce("pending", F.lit(False)) & ~F.col("canonical_name").isin(NARRATOR, UNKNOWN)).groupBy("book_id", "char_id").agg(F.min("canonical_name").alias("name"), F.min(F.coalesce("first_seen_chapter", F.lit(0))).alias("seen"))
     rank = F.row_number().over(Window.partitionBy("row_id").orderBy(F.round("score", 4).desc(), "name", "char_id"))
     kept = scored.join(people, ["book_id", "char_id"]).where(F.col("seen") <= F.greatest("chapter", F.lit(1)))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= top).select("row_id", "rank", "name", F.round("score", 4).alias("score"))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= top).select("row_id", "book_id", "chapter", "char_id", "rank", "name", F.round("score", 4).alias("score"))
+
+
+def candidate_identities(candidates: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
+    """row_id, ``candidates`` (names by rank), ``identities`` (a map from every name key of theirs to the name) and ``aliases``
+    (structs of name, alias, chapter: at most three per candidate, the earliest known first).
+
+    candidates: rows of ``candidate_scores``. An alias goes before another candidate's own name of the same key.
+    """
+    keyed = names.select("book_id", "char_id", "key", "known_from", (F.col("key") != name_key(F.col("canonical_name"))).alias("alias"))
+    both = candidates.join(keyed, ["book_id", "char_id"]).where("known_from <= greatest(chapter, 1)")
+    n = F.row_number().over(Window.partitionBy("row_id", "char_id", "alias").orderBy("known_from", "key"))
+    both = both.withColumn("_n", n).where(f"NOT alias OR _n <= {most}")
+    item = F.struct(F.col("rank").alias("rank"), F.col("known_from").alias("chapter"), F.col("key").alias("alias"), F.col("name").alias("name"))
+    aliases = both.groupBy("row_id").agg(F.array_sort(F.collect_list(F.when(F.col("alias"), item))).alias("_a"))
+    ids = both.groupBy("row_id", "key").agg(F.min_by("name", F.struct((~F.col("alias")).alias("own"), "rank")).alias("name")).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "name"))).alias("identities"))
+    own = candidates.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("candidates"))
+    out = own.join(ids, "row_id", "left").join(aliases, "row_id", "left")
+    return out.select("row_id", "candidates", "identities", F.transform("_a", lambda x: F.struct(x["name"].alias("name"), x["alias"].alias("alias"), x["chapter"].alias("chapter"))).alias("aliases"))
 
 
 def duplicate_tokens(characters: DataFrame, key: Callable[[Column], Column] = name_key) -> DataFrame:

@@ -115,18 +115,34 @@ def validated_response(c: Column) -> Column:
     return F.when(ok, F.struct(speaker.alias("speaker"), j.confidence.alias("confidence"), F.coalesce(j.is_new_character, F.lit(False)).alias("is_new")))
 
 
-def response_fits(answer: Column, candidates: Column, aliases: Column, evidence: Column, key) -> Column:
-    """The answer's speaker: an alias gives its canonical name (aliases is a map from key to name), a known one must be
-    a candidate or Unknown, a new one must be none and stand in the evidence. Null where refused."""
-    canonical = F.coalesce(F.element_at(aliases, key(answer.speaker)), answer.speaker)
-    new_ok = ~F.array_contains(candidates, answer.speaker) & key(evidence).contains(key(answer.speaker))
-    known_ok = F.array_contains(candidates, canonical) | (canonical == UNKNOWN)
-    return F.when(answer.is_new & new_ok, answer.speaker).when(~answer.is_new & known_ok, canonical)
+def response_fits(answer: Column, candidates: Column, identities: Column, evidence: Column, key) -> Column:
+    """The answer's speaker: identities, a map from name keys, gives a candidate's name for any of its names; a known
+    one must be a candidate or Unknown, a new one must be none and stand in the evidence. Null where refused."""
+    canonical = F.coalesce(F.element_at(identities, key(answer.speaker)), answer.speaker)
+    among = lambda name: F.coalesce(F.array_contains(candidates, name), F.lit(False))
+    new_ok = ~among(answer.speaker) & F.contains(key(evidence), key(answer.speaker))
+    return F.when(answer.is_new, F.when(new_ok, answer.speaker)).when(among(canonical) | (canonical == UNKNOWN), canonical)
 
 
-def render_prompt(df: DataFrame) -> DataFrame:
-    """Local context, candidates and the utterance as one prompt, with the contract's cuts."""
+def accepted_answers(answers: DataFrame, segments: DataFrame, identities: DataFrame, key) -> DataFrame:
+    """D12 over a table: row_id and the accepted speaker of every answer (row_id, answer) that fits its row's candidates and window."""
+    windows = context_windows(segments).select("row_id", F.concat_ws(" ", F.transform("before", lambda x: x.text), F.coalesce("text", F.lit("")), F.transform("after", lambda x: x.text)).alias("_evidence"))
+    rows = answers.join(windows, "row_id").join(identities.select("row_id", "candidates", "identities"), "row_id", "left")
+    speaker = response_fits(F.col("answer"), F.col("candidates"), F.col("identities"), F.col("_evidence"), key)
+    return rows.select("row_id", speaker.alias("accepted")).where("accepted IS NOT NULL")
+
+
+def render_prompt(df: DataFrame, identities: DataFrame | None = None) -> DataFrame:
+    """The utterance with its window, the last three speakers, and, where given, its candidates and their aliases, as one prompt with the contract's cuts."""
     lines = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.lit("["), x.type, F.lit(" | "), F.coalesce(x.speaker, F.lit("Unknown")), F.lit("] "), F.left(x.text, F.lit(500)))), "\n")
     rows = context_windows(df).where(is_speech(F.col("type")))
-    prompt = F.concat_ws("\n", F.lit("BEFORE"), lines(F.col("before")), F.concat(F.lit("SEGMENT "), F.col("type")), F.left(F.coalesce("text", F.lit("")), F.lit(2000)), F.lit("AFTER"), lines(F.col("after")))
+    before = previous_speakers(df).select("row_id", F.slice("previous", F.greatest(F.size("previous") - 2, F.lit(1)), 3).alias("_previous"))
+    rows = rows.join(before, "row_id")
+    candidates, aliases = F.lit(""), F.lit("")
+    if identities is not None:
+        rows = rows.join(identities.select("row_id", F.col("candidates").alias("_c"), F.col("aliases").alias("_a")), "row_id", "left")
+        candidates = F.coalesce(F.array_join("_c", ", "), F.lit(""))
+        aliases = F.coalesce(F.array_join(F.transform("_a", lambda x: F.concat(x["alias"], F.lit(" = "), x["name"], F.lit(" ("), x.chapter.cast("string"), F.lit(")"))), ", "), F.lit(""))
+    head = [F.concat(F.lit(f"{name} "), value) for name, value in (("CHAPTER", F.col("chapter").cast("string")), ("PREVIOUS", F.array_join("_previous", ", ")), ("CANDIDATES", candidates), ("ALIASES", aliases))]
+    prompt = F.concat_ws("\n", *head, F.lit("BEFORE"), lines(F.col("before")), F.concat(F.lit("SEGMENT "), F.col("type")), F.left(F.coalesce("text", F.lit("")), F.lit(2000)), F.lit("AFTER"), lines(F.col("after")))
     return rows.select("row_id", prompt.alias("prompt"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright.operators.tables import UNKNOWN
+from lorewright.session import cut
 
 # The states of a chapter.
 STATES = ["not_analyzed", "analyzing", "analyzed", "review_required", "ready_for_audio", "generating_audio", "completed", "failed"]
@@ -76,9 +78,33 @@ def changes_in_order(events: DataFrame, key: str, order: list[str]) -> DataFrame
     return rows.groupBy("previous", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def save_changed(df: DataFrame, path: str, *partitions: str) -> None:
-    """Overwrites only the partitions that df holds."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+def digests(df: DataFrame, *partitions: str) -> DataFrame:
+    """Partitions, rows and a digest of all rows whatever their order: sums of two hashes, added up before the shuffle."""
+    columns = sorted(c for c in df.columns if c not in partitions)
+    h = [F.xxhash64(*columns, F.lit(seed)).cast("decimal(38,0)") for seed in (1, 2)]
+    return df.groupBy(*partitions).agg(F.count(F.lit(1)).alias("rows"), F.sum(h[0]).alias("a"), F.sum(h[1]).alias("b"))
+
+
+def changed_partitions(old: DataFrame, new: DataFrame, *partitions: str) -> DataFrame:
+    """The partitions of new whose content isn't that of old."""
+    a = digests(old, *partitions)
+    same = digests(new, *partitions).join(a, [*partitions, "rows", "a", "b"], "left_semi")
+    return new.select(*partitions).distinct().join(same, list(partitions), "left_anti")
+
+
+def save_changed(df: DataFrame, path: str, *partitions: str) -> int:
+    """Writes only the partitions that differ from what stands in the folder; the number of those written."""
+    spark = df.sparkSession
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException:  # nothing saved yet
+        old = None
+    todo = df.select(*partitions).distinct() if old is None else changed_partitions(old.select(*df.columns), df, *partitions)
+    todo = cut(todo)
+    n = todo.count()
+    if n:
+        cut(df.join(todo, list(partitions), "left_semi")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    return n
 
 
 def document_index(books: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -93,3 +93,17 @@ def test_response_validation(spark):
     df = spark.createDataFrame([(0, '{"speaker":" Ana ","confidence":0.5,"is_new_character":true}')] + [(i, b) for i, b in enumerate(bad, 1)], "i int, j string")
     got = {r["i"]: r["r"] for r in df.select("i", context.validated_response(F.col("j")).alias("r")).collect()}
     assert tuple(got.pop(0)) == ("Ana", 0.5, True) and not any(got.values())
+
+
+def test_answers_must_fit(spark):
+    from lorewright.functions.text import name_key
+
+    s = rows(spark, [(1, "narration", "Entró la Señora Zoe.", "Narrator", False), (1, "dialogue", "Hola", "Unknown", False)])
+    ids = spark.createDataFrame([(2, ["Ana"], {"ana": "Ana", "la dama": "Ana"}, [("Ana", "la dama", 1)])], "row_id bigint, candidates array<string>, identities map<string,string>, aliases array<struct<name:string,alias:string,chapter:int>>")
+    wanted = {("Ana", False): "Ana", ("La DAMA", False): "Ana", ("Luis", False): None, ("Unknown", False): "Unknown", ("zoé", True): "zoé", ("Ana", True): None, ("Luis", True): None}
+    for (speaker, new), out in wanted.items():
+        a = spark.createDataFrame([(2, (speaker, 0.9, new))], "row_id bigint, answer struct<speaker:string,confidence:double,is_new:boolean>")
+        got = [r["accepted"] for r in context.accepted_answers(a, s, ids, name_key).collect()]
+        assert got == ([out] if out else []), speaker
+    (p,) = [r["prompt"] for r in context.render_prompt(s, ids).collect()]
+    assert "CANDIDATES Ana\nALIASES la dama = Ana (1)\nBEFORE\n[narration | Narrator] Entró" in p and "SEGMENT dialogue\nHola" in p
