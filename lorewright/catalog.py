@@ -679,17 +679,42 @@ def clear_chapter_cache(spark, d):
 # ---- audio plan: C9, F10, G9, N1-N6, E10 ---------------------------------------------------------------------------
 
 
-@query("chunk_text")
+def _chunk_ctes(most: int = 400) -> str:
+    """ct(row_id, chunk_no, chunk): a fold over a paragraph's sentences, and over the words of one that doesn't fit; o holds finished chunks, h the open one."""
+    none = "CAST([] AS VARCHAR[])"
+    item = lambda x: f"{{'o': {none}, 'h': {x}}}"
+    flushed = lambda a: f"CASE WHEN {a}.h <> '' THEN list_append({a}.o, {a}.h) ELSE {a}.o END"
+    pieces = f"list_transform(generate_series(0, (length(w.h) - 1) // {most}), lambda i: substring(w.h, i * {most} + 1, {most}))"
+    word = f"""CASE WHEN length(w.h) > {most} THEN {{'o': list_concat({flushed('b')}, {pieces}), 'h': ''}} WHEN b.h <> '' AND length(b.h) + 1 + length(w.h) > {most} THEN {{'o': list_append(b.o, b.h), 'h': w.h}}
+ ELSE {{'o': b.o, 'h': CASE WHEN b.h <> '' THEN b.h || ' ' || w.h ELSE w.h END}} END"""
+    words = f"list_reduce(list_transform(string_split_regex(s.h, '{_WS}+'), lambda x: {item('x')}), lambda b, w: {word}, {{'o': {flushed('a')}, 'h': ''}})"
+    reopened = f"list_transform([{words}], lambda z: CASE WHEN z.h = '' AND len(z.o) > 0 THEN {{'o': z.o[1:len(z.o) - 1], 'h': z.o[len(z.o)]}} ELSE z END)[1]"
+    sentence = f"CASE WHEN length(a.h) + length(s.h) + CASE WHEN a.h <> '' THEN 1 ELSE 0 END <= {most} THEN {{'o': a.o, 'h': CASE WHEN a.h <> '' THEN a.h || ' ' || s.h ELSE s.h END}} ELSE {reopened} END"
+    return rf"""pa AS (SELECT row_id, list_filter(list_transform(string_split_regex(text, '\n{_WS}*\n'), lambda x: {_strip('x')}), lambda x: x <> '') AS ps FROM ls WHERE text IS NOT NULL),
+pb AS (SELECT row_id, unnest(ps) AS par, generate_subscripts(ps, 1) AS pn FROM pa),
+pc AS (SELECT row_id, pn, list_filter(list_transform(string_split(regexp_replace(par, '([.!?…]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') AS ss FROM pb),
+pd AS (SELECT row_id, pn, list_reduce(list_transform(ss, lambda x: {item('x')}), lambda a, s: {sentence}, {item("''")}) AS z FROM pc WHERE len(ss) > 0),
+pe AS (SELECT row_id, pn, unnest({flushed('z')}) AS chunk, generate_subscripts({flushed('z')}, 1) AS k FROM pd),
+ct AS (SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY pn, k) - 1 AS INTEGER) AS chunk_no, chunk FROM pe)"""
+
+
+_CHUNKS = _chunk_ctes()
+
+
+@query("chunk_text", f"WITH {_LS}, {_CHUNKS} SELECT * FROM ct")
 def chunk_text(spark, d):
     return exploded(_segments(spark, d, "text"), ["row_id"], chunks.chunks_column(F.col("text")), "chunk_no", "chunk")
 
 
-@query("chunk_totals_rollup")
+@query("chunk_totals_rollup", f"WITH {_LS}, {_CHUNKS}, n AS (SELECT ls.book_id, ls.chapter, count(ct.row_id) AS n FROM ls LEFT JOIN ct USING (row_id) GROUP BY ALL) SELECT book_id, chapter, CAST(n AS BIGINT) AS chunks FROM n UNION ALL SELECT book_id, NULL, CAST(sum(n) AS BIGINT) FROM n GROUP BY book_id")
 def chunk_totals_rollup(spark, d):
     return chunks.chunk_totals(_segments(spark, d, "chapter", "text"))
 
 
-@query("pause_plan")
+@query("pause_plan", f"""WITH {_LS}, {_CHUNKS}, w AS (SELECT *, lag(speaker) OVER v AS before, row_number() OVER v AS n FROM ls WINDOW v AS (PARTITION BY book_id, chapter ORDER BY seg_order, row_id)),
+j AS (SELECT w.*, ct.chunk_no, ct.chunk, row_number() OVER (PARTITION BY book_id, chapter ORDER BY n, chunk_no) AS place FROM w JOIN ct USING (row_id))
+SELECT book_id, chapter, CAST(place AS INTEGER) AS place, row_id, chunk_no, chunk, speaker, CAST(CASE WHEN place = 1 THEN 0 WHEN coalesce(scene_break_before, false) AND chunk_no = 0 THEN 1000 WHEN chunk_no > 0 THEN CASE WHEN contains(text, chr(10) || chr(10)) THEN 320 ELSE 180 END
+ WHEN before IS DISTINCT FROM speaker AND n > 1 THEN 260 ELSE 180 END AS INTEGER) AS pause_ms FROM j""")
 def pause_plan(spark, d):
     return chunks.pause_plan(_segments(spark, d, *_FULL))
 
@@ -780,7 +805,19 @@ def voice_compatible(spark, d):
     return voices.compatible(_people(spark, d), table(spark, d, "voices"))
 
 
-@query("voice_greedy")
+# A fold over a book's cast in order: res holds reserved voices, out what was chosen.
+_FREE = "list_filter({}, lambda v: NOT list_contains(a.res, v))"
+_PICK = f"[CASE WHEN x.own THEN d ELSE g END, {_FREE.format('CASE WHEN x.own THEN d ELSE g END')}]"
+_STEP = f"""CASE WHEN x.out[1].v IS NOT NULL THEN {{'res': CASE WHEN x.man OR x.out[1].s = 'dedicated' THEN list_append(a.res, x.out[1].v) ELSE a.res END, 'out': list_concat(a.out, x.out), 'own': x.own, 'num': x.num, 'man': x.man}}
+ ELSE list_transform([{_PICK}], lambda c: CASE WHEN x.own AND len(c[2]) > 0 THEN {{'res': list_append(a.res, c[2][1]), 'out': list_append(a.out, {{'c': x.out[1].c, 'v': c[2][1], 's': 'dedicated'}}), 'own': x.own, 'num': x.num, 'man': x.man}}
+ ELSE {{'res': a.res, 'out': list_append(a.out, {{'c': x.out[1].c, 'v': CASE WHEN len(c[2]) > 0 THEN c[2][CAST(x.num % len(c[2]) + 1 AS BIGINT)] ELSE c[1][CAST(x.num % len(c[1]) + 1 AS BIGINT)] END, 's': 'generic_pool'}}), 'own': x.own, 'num': x.num, 'man': x.man}} END)[1] END"""
+
+
+@query("voice_greedy", f"""WITH {_LP}, sh AS (SELECT coalesce(list(voice_id ORDER BY voice_id) FILTER (strategy = 'dedicated'), list(voice_id ORDER BY voice_id)) AS d, coalesce(list(voice_id ORDER BY voice_id) FILTER (strategy = 'generic_pool'), list(voice_id ORDER BY voice_id)) AS g FROM voices),
+ca AS (SELECT book_id, char_id, CASE WHEN canonical_name = 'Narrator' THEN 0 ELSE coalesce(list_position(['major', 'supporting', 'minor', 'unknown'], importance), 5) END AS rank, CAST(coalesce(try_cast(regexp_extract(char_id, '(\\d+)$', 1) AS BIGINT), 0) AS BIGINT) AS num, voice_id, voice_strategy, coalesce(voice_manual, false) AS man FROM lp WHERE NOT coalesce(pending, false)),
+el AS (SELECT book_id, list({{'res': CAST([] AS VARCHAR[]), 'out': [{{'c': char_id, 'v': voice_id, 's': voice_strategy}}], 'own': rank <= 2, 'num': num, 'man': man}} ORDER BY rank, char_id) AS h FROM ca GROUP BY book_id),
+fo AS (SELECT book_id, list_reduce(h, lambda a, x: {_STEP}, {{'res': CAST([] AS VARCHAR[]), 'out': list_filter(h[1].out, lambda o: false), 'own': false, 'num': CAST(0 AS BIGINT), 'man': false}}).out AS out FROM el, sh)
+SELECT book_id, o.c AS char_id, o.v AS voice_id, o.s AS voice_strategy FROM (SELECT book_id, unnest(out) AS o FROM fo)""")
 def voice_greedy(spark, d):
     return voices.reserve_voices(_people(spark, d), table(spark, d, "voices"))
 
@@ -862,7 +899,8 @@ def state_transitions(spark, d):
     return incremental.changes_in_order(table(spark, d, "events", "user_id", "event_type", "ts", "event_id"), "user_id", ["ts", "event_id"])
 
 
-@query("document_index")
+@query("document_index", f"""WITH {_LC}, p AS (SELECT book_id, list({{'chapter': chapter, 'chapter_id': chapter_id, 'title': title, 'word_count': word_count, 'status': status, 'selected_for_processing': selected_for_processing, 'narrate': narrate, 'section_kind': section_kind}} ORDER BY chapter) AS chapters FROM lc GROUP BY book_id)
+SELECT b.book_id, CAST(to_json({{'schema_version': 3, 'book_id': b.book_id, 'title': b.title, 'author': author, 'language': language, 'publisher': publisher, 'identifier': identifier, 'format': format, 'chapters': chapters}}) AS VARCHAR) AS manifest FROM books b LEFT JOIN p USING (book_id)""")
 def document_index(spark, d):
     return incremental.document_index(table(spark, d, "books"), _chapters(spark, d, "chapter_id", "title", "word_count", "status", "selected_for_processing", "narrate", "section_kind"))
 

@@ -112,4 +112,4 @@ def document_index(books: DataFrame, chapters: DataFrame) -> DataFrame:
     item = F.struct("chapter", "chapter_id", "title", "word_count", "status", "selected_for_processing", "narrate", "section_kind")
     per = chapters.groupBy("book_id").agg(F.array_sort(F.collect_list(item)).alias("chapters"))
     head = books.select("book_id", "title", "author", "language", "publisher", "identifier", "format")
-    return head.join(per, "book_id", "left").select("book_id", F.to_json(F.struct(F.lit(3).alias("schema_version"), *head.columns, "chapters")).alias("manifest"))
+    return head.join(per, "book_id", "left").select("book_id", F.to_json(F.struct(F.lit(3).alias("schema_version"), *head.columns, "chapters"), {"ignoreNullFields": "false"}).alias("manifest"))
