@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -21,7 +24,8 @@ def strip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.regexp_replace(strip(c), r"(?U)\s+", " ")
+    # A single blank is left as it is, so that most texts aren't built anew.
+    return F.trim(F.regexp_replace(c, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def split_lines(c: Column) -> Column:
@@ -95,19 +99,27 @@ def with_headings(lines: Column) -> Column:
     return F.transform(steps, lambda y: F.struct(y.x.alias("x"), (~y.c & _reads_as_heading(y.q)).alias("h")))
 
 
+@functools.lru_cache(maxsize=1)
+def _marks() -> re.Pattern:
+    """All characters that combine with the one before."""
+    return re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c)) + "]+")
+
+
+#: Characters that fold one by one: ASCII, the letters of Western Europe but for sharp s, quotation marks and dashes.
+_WESTERN = "[\\x00-\\x7fÀ-ÖØ-Þà-öø-ÿ¡¿«»–—‘-”]"
+_ACCENTED = [(c, unicodedata.normalize("NFKD", c)[0]) for c in map(chr, range(0xE0, 0x100)) if unicodedata.normalize("NFKD", c) != c]
+
+
 @F.pandas_udf(StringType())
 def _folded(names: pd.Series) -> pd.Series:
-    def fold(n: str | None) -> str | None:
-        return None if n is None else "".join(c for c in unicodedata.normalize("NFKD", n) if not unicodedata.combining(c)).casefold()
-
-    return names.map(fold)
+    return names.map(lambda n: None if n is None else _marks().sub("", unicodedata.normalize("NFKD", n)).casefold())
 
 
 def name_key(c: Column) -> Column:
-    """Identity key of a name: blanks collapsed, accents and case levelled. ASCII names stay in the JVM."""
+    """Identity key of a name: blanks collapsed, accents and case levelled. Names of ASCII and Western letters stay in the JVM."""
     s = squeeze(c)
-    plain = s.rlike(r"^[\x00-\x7f]*$")
-    return F.when(plain, F.lower(s)).otherwise(_folded(F.when(~plain, s)))
+    plain = s.rlike(f"^{_WESTERN}*$")
+    return F.when(plain, F.translate(F.lower(s), *map("".join, zip(*_ACCENTED)))).otherwise(_folded(F.when(~plain, s)))
 
 
 def safe_filename(c: Column, fallback: str = "untitled") -> Column:

@@ -88,11 +88,6 @@ def select_chapters(chapters: DataFrame, chosen: DataFrame) -> DataFrame:
     return chapters.drop("selected_for_processing").join(hit, ["book_id", "chapter"], "left").withColumn("selected_for_processing", F.coalesce("_c", F.lit(False))).drop("_c")
 
 
-def assign(manual: str, existing: str, auto: str):
-    """M7: the voice chosen by hand, else the one in use, else the automatic one."""
-    return F.coalesce(manual, existing, auto)
-
-
 def clear_chapter(cache: DataFrame, states: DataFrame, book_id: int, chapter: int) -> tuple[DataFrame, DataFrame]:
     """M9: (cache, chapter states) without one chapter's entries; its status is ready again."""
     here = (F.col("book_id") == book_id) & (F.col("chapter") == chapter)

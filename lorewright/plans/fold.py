@@ -8,6 +8,7 @@ never its text. Books are independent tasks.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -22,17 +23,24 @@ from pyspark.sql import functions as F
 from lorewright.config import CharacterConfig
 from lorewright.operators.context import REPLY_VERBS, rule_speaker
 from lorewright.operators.tables import NARRATOR, UNKNOWN
+from lorewright.session import apart
 
 SCHEMA = "row_id bigint, book_id bigint, speaker string, confidence double, resolution_method string, review_needed boolean, new_character_candidate string"
 #: A remote resolver gets a context dict and returns {"speaker", "confidence", "is_new_character"} or None.
 Resolver = Callable[[dict], dict | None]
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def key_of(name: str) -> str:
     text = unicodedata.normalize("NFKD", " ".join(name.split()))
     return "".join(c for c in text if not unicodedata.combining(c)).casefold()
 
 
+@functools.lru_cache(maxsize=1 << 13)
+def _whole(names: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)")
+
+
 @dataclass
 class Person:
     name: str
@@ -41,6 +49,9 @@ class Person:
     aliases: dict[str, int] = field(default_factory=dict)  # key -> chapter
     last: deque = field(default_factory=lambda: deque(maxlen=64))
 
+    def __post_init__(self) -> None:
+        self.key = key_of(self.name)
+
 
 class Cast:
     """The people of one book met so far."""
@@ -48,14 +59,17 @@ class Cast:
     def __init__(self) -> None:
         self.people: list[Person] = []
         self.by_key: dict[str, list[Person]] = {}
+        self.memo: dict[tuple[str, int], dict[str, int]] = {}  # mentions in the last rows' texts, until the cast changes
         self.register(NARRATOR, 0)
 
     def register(self, name: str, chapter: int, pending: bool = False) -> Person:
-        found = self.find(name, chapter or None) or next((p for p in self.by_key.get(key_of(name), ()) if key_of(p.name) == key_of(name)), None)
+        found = self.find(name, chapter or None) or next((p for p in self.by_key.get(key_of(name), ()) if p.key == key_of(name)), None)
         if found:
             if chapter and found.seen > chapter:
                 found.seen = chapter
+                self.memo.clear()
             return found
+        self.memo.clear()
         p = Person(" ".join(name.split()), chapter, pending)
         self.people.append(p)
         self.by_key.setdefault(key_of(name), []).append(p)
@@ -65,25 +79,28 @@ class Cast:
         k = key_of(name)
         p.aliases[k] = min(chapter, p.aliases.get(k, chapter))
         self.by_key.setdefault(k, []).append(p)
+        self.memo.clear()
 
     def find(self, name: str, chapter: int | None) -> Person | None:
         k = key_of(name)
         for p in self.by_key.get(k, ()):
-            if chapter is None or p.seen <= chapter and (key_of(p.name) == k or p.aliases.get(k, 1 << 30) <= chapter):
+            if chapter is None or p.seen <= chapter and (p.key == k or p.aliases.get(k, 1 << 30) <= chapter):
                 return p
         return None
 
     def mentions(self, folded: str, chapter: int) -> dict[str, int]:
-        """Visible people whose name, or alias, stands in the folded text as whole words."""
-        out = {}
+        """Visible people whose name, or alias, stands in the folded text as whole words. A text is searched once while it is near."""
+        if (known := self.memo.get((folded, chapter))) is not None:
+            return known
+        if len(self.memo) > 64:
+            self.memo.clear()
+        out = self.memo[folded, chapter] = {}
         for p in self.people:
             if p.seen > chapter:
                 continue
-            names = [key_of(p.name), *(k for k, c in p.aliases.items() if c <= chapter)]
-            if any(k in folded for k in names):
-                n = len(re.findall(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)", folded))
-                if n:
-                    out[p.name] = n
+            names = (p.key, *(k for k, c in p.aliases.items() if c <= chapter))
+            if any(k in folded for k in names) and (n := len(_whole(names).findall(folded))):
+                out[p.name] = n
         return out
 
 
@@ -208,7 +225,7 @@ def resolve_speakers(segments: DataFrame, config: CharacterConfig | None = None,
     w = Window.partitionBy("book_id", "chapter", "scene_id").orderBy("seg_order", "row_id")
     rows = rule_speaker(segments).withColumn("after_texts", F.collect_list(F.coalesce("text", F.lit(""))).over(w.rowsBetween(1, 4)))
     rows = rows.select("row_id", "book_id", "chapter", "seg_order", "type", "text", "speaker", F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"), "resolution_method", "review_needed", "new_character_candidate", "scene_break_before", "scene_id", "rule_speaker", "after_texts")
-    return rows.repartition("book_id").sortWithinPartitions("book_id", "chapter", "seg_order", "row_id").mapInPandas(fold_batches(config or CharacterConfig(), resolver), SCHEMA)
+    return apart(rows, "book_id").sortWithinPartitions("book_id", "chapter", "seg_order", "row_id").mapInPandas(fold_batches(config or CharacterConfig(), resolver), SCHEMA)
 
 
 def reanalyze(segments: DataFrame, review_too: bool = False, **kw) -> DataFrame:

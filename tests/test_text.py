@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewright.functions import text as T
+from lorewright.plans.fold import key_of
 
 
 def column(spark, values, f, kind="string"):
@@ -30,3 +31,10 @@ def test_names_slugs_and_members(spark):
     assert column(spark, ["C a p í t u l o  1", "Capítulo 1"], T.spaced_heading) == ["Capítulo 1", "Capítulo 1"]
     assert column(spark, ["Table of contents copyright", "Índice", "La torre"], T.section_kind) == ["copyright", "table_of_contents", None]
     assert column(spark, ["a b\u00a0c", "", None, " x "], T.word_count) == [3, 0, None, 1]
+
+
+def test_keys_in_the_jvm_and_in_python_agree(spark):
+    names = [f"a{chr(i)}Z" for i in range(1, 0x250) if not 0x1C <= i <= 0x20 and i not in (0x85, 0xA0)] + ["“José” — «Ñandú»", "Straße", "Ǆ", "ﬁn", "Ωμέγα", "Й", "ｶﾞ", "गौ़", None, ""]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = {r["i"]: r["k"] for r in df.select("i", T.name_key(F.col("n")).alias("k")).collect()}
+    assert got == {i: None if n is None else key_of(n) for i, n in enumerate(names)}
