@@ -23,7 +23,7 @@ def test_asked_once_and_cached(spark, tmp_path):
 
         return client
 
-    s = rows(spark, [(1, "dialogue", "hola", "Unknown", True), (2, "dialogue", "hola", "Unknown", True), (3, "dialogue", "falla", "Unknown", True), (4, "narration", "x", "Narrator", False)])
+    s = rows(spark, [(1, "dialogue", "hola", "Unknown", True), (1, "dialogue", "hola", "Unknown", True), (3, "dialogue", "falla", "Unknown", True), (4, "narration", "x", "Narrator", False)])
     empty = spark.createDataFrame([], "key string, answer string")
     prompts = remote.keyed(s)
     got = remote.ask(prompts, empty, factory).toPandas()
