@@ -337,16 +337,21 @@ def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, within: list[str]
     return pairs.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b")).distinct()
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables as one: _id (item_table, row_id), book_id, chapter (null for names), text."""
+    segments = table(spark, sf_dir, "segments", "row_id", "book_id", "chapter", "text").withColumn("item_table", F.lit("segments"))
+    names = table(spark, sf_dir, "characters", "row_id", "book_id", "canonical_name").select("row_id", "book_id", F.lit(None).cast("int").alias("chapter"), F.col("canonical_name").alias("text"), F.lit("characters").alias("item_table"))
+    return segments.unionByName(names).select(F.struct("item_table", "row_id").alias("_id"), "item_table", "book_id", "chapter", "text")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = lookalike_pairs(table(spark, sf_dir, "segments", "row_id", "book_id", "chapter", "text"), "row_id", "text", ["book_id", "chapter"])
-    names = lookalike_pairs(table(spark, sf_dir, "characters", "row_id", "book_id", "canonical_name"), "row_id", "canonical_name", ["book_id"])
-    return segments.select(F.lit("segments").alias("item_table"), "*").unionByName(names.select(F.lit("characters").alias("item_table"), "*"))
+    pairs = lookalike_pairs(_items(spark, sf_dir), "_id", "text", ["item_table", "book_id", "chapter"])
+    return pairs.select("row_id_a.item_table", F.col("row_id_a.row_id").alias("row_id_a"), F.col("row_id_b.row_id").alias("row_id_b"))
 
 
 def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent form of every segment text and canonical name."""
-    parts = [canonical_texts(table(spark, sf_dir, name, "row_id", col), "row_id", col).select(F.lit(name).alias("item_table"), "row_id", "canonical") for name, col in (("segments", "text"), ("characters", "canonical_name"))]
-    return parts[0].unionByName(parts[1])
+    return canonical_texts(_items(spark, sf_dir), "_id", "text").select("_id.item_table", "_id.row_id", "canonical")
 
 
 QUERIES = {"p4_found": p4_found, "p4_canonical": p4_canonical}
